@@ -89,12 +89,11 @@ def seeded_key(seed: int, key: Column) -> Column:
 def exact_split(frames: DataFrame, key: Column, seed: int = 42, fraction: float = 0.2,
                 name: str = "split") -> DataFrame:
     """Shuffle by seed; the first ``max(1, int(n * fraction))`` rows are validation (none if n < 2)."""
-    total = frames.agg(F.count("*").alias("_n"))
+    n = frames.count()
+    n_val = max(1, int(n * fraction)) if n > 1 else 0
     hashed = frames.withColumn("_h", seeded_key(seed, key))
     ranked = rank_in_group(hashed, [], [F.col("_h"), key], hash_bucket(F.col("_h")), "_r")
-    n_val = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).otherwise(0)
-    return (ranked.join(F.broadcast(total)).withColumn(
-        name, F.when(F.col("_r") <= n_val, "val").otherwise("train")).drop("_h", "_r", "_n"))
+    return ranked.withColumn(name, F.when(F.col("_r") <= n_val, "val").otherwise("train")).drop("_h", "_r")
 
 
 def hash_split(video: Column, time: Column, ratio: float) -> Column:

@@ -28,7 +28,7 @@ def rename_known(df: DataFrame, aliases: dict[str, str] = LEGACY_COLUMN_NAMES,
     """Trim header names and give aliased ones their standard name."""
     names = {}
     for c in df.columns:
-        clean = c.strip().lstrip("﻿")
+        clean = c.strip().lstrip("\ufeff")
         names[c] = aliases.get(clean.lower() if lower else clean, clean)
     return df.withColumnsRenamed({k: v for k, v in names.items() if k != v})
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tagweave.operators.ordering import rank_in_group
 from tagweave.operators.records import compare_records
 from tagweave.operators.spatial import match_boxes
 from tagweave.schema import QUALITY_COLUMNS
@@ -104,17 +107,32 @@ def histogram_peak(histogram: DataFrame, keys: list[str], low: float, high: floa
         "center", F.round(low + (F.col("bin") + 0.5) * width, 6))
 
 
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float], buckets: int = 4096) -> DataFrame:
+    """Interpolated quantiles of one column without collecting or sorting it in one task."""
+    values = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    places = {q: (n - 1) * q for q in shares}
+    wanted = sorted({int(p) + 1 + k for p in places.values() for k in (0, 1)})
+    bucket = F.floor((F.col("v") - low) / ((high - low) or 1.0) * buckets) if n else F.lit(0)
+    ranked = rank_in_group(values, [], [F.col("v")], bucket, "r").filter(F.col("r").isin(wanted))
+    at = ranked.agg(F.map_from_arrays(F.collect_list("r"), F.collect_list("v")).alias("m"))
+    def quantile(p: float) -> Column:
+        low_v = F.try_element_at("m", F.lit(int(p) + 1).cast("bigint"))
+        high_v = F.coalesce(F.try_element_at("m", F.lit(int(p) + 2).cast("bigint")), low_v)
+        return low_v + (high_v - low_v) * (p - int(p))
+    return at.select(F.lit(column).alias("metric"), *[
+        F.round(quantile(p), 6).alias(f"p{int(q * 100)}") for q, p in places.items()])
+
+
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles, one row per column."""
-    parts = []
-    for c in columns:
-        parts.append(F.struct(
-            F.lit(c).alias("metric"), F.count(c).alias("count"), F.round(F.avg(c), 6).alias("mean"),
-            F.round(F.stddev(c), 6).alias("std"), F.min(c).alias("min"),
-            F.round(F.percentile(c, F.lit(0.25)), 6).alias("p25"),
-            F.round(F.percentile(c, F.lit(0.5)), 6).alias("p50"),
-            F.round(F.percentile(c, F.lit(0.75)), 6).alias("p75"), F.max(c).alias("max")))
-    return rows.agg(F.array(*parts).alias("_a")).select(F.inline("_a"))
+    parts = [F.struct(
+        F.lit(c).alias("metric"), F.count(c).alias("count"), F.round(F.avg(c), 6).alias("mean"),
+        F.round(F.stddev(c), 6).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
+        F.max(F.col(c).cast("double")).alias("max")) for c in columns]
+    basic = rows.agg(F.array(*parts).alias("_a")).select(F.inline("_a"))
+    quantiles = reduce(DataFrame.unionByName, (exact_quantiles(rows, c, [0.25, 0.5, 0.75]) for c in columns))
+    return basic.join(quantiles, "metric")
 
 
 def track_summary(observations: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
