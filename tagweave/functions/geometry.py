@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from tagweave.functions.text import fixed_decimals
 from tagweave.schema import BOX_COLUMNS
 
 
@@ -135,7 +136,8 @@ def normalized_line(box: Box, width: Column, height: Column, label: Column) -> C
         (cut.x_min + cut.x_max) / 2.0 / width, (cut.y_min + cut.y_max) / 2.0 / height,
         (cut.x_max - cut.x_min) / width, (cut.y_max - cut.y_min) / height,
     ]
-    return F.when(usable(cut), F.format_string("%d %.6f %.6f %.6f %.6f", label, *values))
+    texts = [fixed_decimals(v, 6) for v in values]
+    return F.when(usable(cut), F.concat_ws(" ", label.cast("string"), *texts))
 
 
 def from_normalized(cx: Column, cy: Column, w: Column, h: Column) -> Box:

@@ -155,7 +155,10 @@ def _price_text(whole: Column, cents: Column, context: Column) -> Column:
 
 def tag_prices(text: Column) -> Column:
     """Distinct prices of a text in the order found: dotted, spaced, then compact numbers."""
-    text = t.squeeze(text)
+    return t.let(t.squeeze(text), _prices_of)
+
+
+def _prices_of(text: Column) -> Column:
     unit = lambda s: _around(text, s, 4, 5).rlike(VOLUME_UNIT)
     context = lambda s: _around(text, s, 18, 18)
     whole = lambda s: F.regexp_extract(s["text"], r"^(\d+)", 1)
@@ -193,7 +196,7 @@ def tag_prices(text: Column) -> Column:
         return F.array_distinct(F.concat(
             acc["prices"], F.array_compact(F.transform(compact, compact_price))))
 
-    return F.transform(F.array(state), finish)[0]
+    return t.let(state, finish)
 
 
 def pair_price(left: Column, right: Column) -> Column:
@@ -252,7 +255,7 @@ def two_decimals(c: Column) -> Column:
     """Two decimals with a point; text that is no number passes through."""
     number = F.translate(t.strip(c), ",", ".")
     value = F.when(number.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), number.try_cast("double"))
-    return F.when(value.isNull(), c).otherwise(F.format_string("%.2f", value))
+    return F.when(value.isNull(), c).otherwise(t.fixed_decimals(value, 2))
 
 
 def canonical_absent(c: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tagweave.schema import ABSENT, COLOR_HINTS, QUALITY_COLUMNS
-from tagweave.functions.text import is_noise, normalize_value
+from tagweave.functions.text import is_noise, let, normalize_value
 
 
 def fusion_crop_score(sharpness: Column, area: Column, confidence: Column, decoded: Column,
@@ -67,13 +67,11 @@ def colour_candidate_confidence(fill: Column) -> Column:
 
 def fingerprint_bits(coefficients: Column) -> Column:
     """64-bit fingerprint: which coefficients exceed the mean of all but the first."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     values = F.transform(coefficients, lambda v: v.cast("double"))
-    rest = F.slice(values, 2, 63)
-    mean = F.aggregate(rest, F.lit(0.0), lambda a, v: a + v) / 63.0
-    return F.aggregate(
-        values, F.lit(0).cast("bigint"),
-        lambda bits, v: F.shiftleft(bits, 1).bitwiseOR(
-            F.when(v > mean, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))))
+    mean = F.aggregate(F.slice(values, 2, 63), F.lit(0.0), lambda a, v: a + v) / 63.0
+    return let(mean, lambda m: F.aggregate(values, zero, lambda bits, v: F.shiftleft(bits, 1).bitwiseOR(
+        F.when(v > m, one).otherwise(zero))))
 
 
 def fingerprint_hex(bits: Column) -> Column:

@@ -21,7 +21,8 @@ PRICE_PART = r"(\d{1,6})(?:,(\d{1,2}))?"
 DISCOUNT_PART = r"-?\d{1,3}%"
 DOTTED_TIME = r"(\d{2}\.\d{2}\.\d{4})\s+(\d{1,2})\.(\d{2})"
 PLAIN_TIME = r"\d{2}\.\d{2}\.\d{4}\s+\d{1,2}:\d{2}"
-STRICT_TIME = r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) (\d{1,2})(?:\.(\d{1,2})|:(\d{1,2})(?::\d{1,2})?)$"
+STRICT_TIME = (r"^(\d{1,2})\.(\d{1,2})\.(\d{4}) (?:0(?=\d))?(\d|1\d|2[0-3])"
+               r"(?:\.([0-5]?\d)|:([0-5]?\d)(?::[0-5]?\d)?)$")
 NOT_COMPARABLE = r"[^0-9a-zа-яё.% -]+"
 
 
@@ -40,8 +41,12 @@ def squeeze(c: Column) -> Column:
 
 def normalize_value(c: Column | str) -> Column:
     text = F.coalesce(strip(col_of(c)), F.lit(""))
-    whole = text.endswith(".0") & text.rlike(r"^\d+\.0$")
-    return F.when(whole, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
+    return F.regexp_replace(text, r"^(\d+)\.0$", "$1")
+
+
+def _clean(c: Column | str, ready: bool) -> Column:
+    """The value itself where the caller already holds its normal form."""
+    return col_of(c) if ready else normalize_value(c)
 
 
 def is_missing(c: Column) -> Column:
@@ -56,47 +61,42 @@ def _unless_missing(text: Column, result: Column) -> Column:
     return F.when(is_missing(text), text).otherwise(result)
 
 
-def normalize_price(c: Column | str) -> Column:
-    value = normalize_value(c)
-    text = F.translate(F.regexp_replace(value, " ", ""), ".", ",")
+def normalize_price(c: Column | str, ready: bool = False) -> Column:
+    text = F.translate(_clean(c, ready), ". ", ",")
     whole, cents = (F.regexp_extract(text, PRICE_PART, i) for i in (1, 2))
-    digits = F.ltrim(whole, F.lit("0"))
-    price = F.concat(
-        F.when(digits == "", "0").otherwise(digits), F.lit(","),
-        F.rpad(F.when(cents == "", "00").otherwise(cents), 2, "0"),
-    )
+    price = F.concat(F.regexp_replace(whole, r"^0+(?=\d)", ""), F.lit(","), F.rpad(cents, 2, "0"))
     return _unless_missing(text, F.when(whole == "", "").otherwise(price))
 
 
-def price_value(c: Column | str) -> Column:
-    """Price as a double; 0 where the text holds no valid price."""
-    value = F.translate(normalize_price(c), ",", ".").try_cast("double")
-    return F.when((value > 0) & (value < 1_000_000), value).otherwise(0.0)
+def price_value(c: Column | str, ready: bool = False) -> Column:
+    """Price as a double; 0 where the text holds no price. Six digits keep it below a million."""
+    text = F.translate(_clean(c, ready), ". ", ",")
+    found = F.translate(F.regexp_extract(text, PRICE_PART, 0), ",", ".")
+    return F.coalesce(found.try_cast("double"), F.lit(0.0))
 
 
-def valid_price(c: Column | str) -> Column:
-    return price_value(c) > 0
+def valid_price(c: Column | str, ready: bool = False) -> Column:
+    return price_value(c, ready) > 0
 
 
-def normalize_discount(c: Column | str) -> Column:
-    text = F.translate(F.regexp_replace(normalize_value(c), " ", ""), "\u2212", "-")
+def normalize_discount(c: Column | str, ready: bool = False) -> Column:
+    text = F.translate(_clean(c, ready), "\u2212 ", "-")
     found = F.regexp_extract(text, DISCOUNT_PART, 0)
-    signed = F.when((found == "") | found.startswith("-"), found).otherwise(
-        F.concat(F.lit("-"), found))
-    return _unless_missing(text, signed)
+    return _unless_missing(text, F.regexp_replace(found, r"^-?(.+)$", "-$1"))
 
 
-def valid_discount(c: Column | str) -> Column:
-    number = F.regexp_extract(normalize_discount(c), r"^-(\d{1,3})%$", 1).try_cast("int")
-    return F.coalesce((number > 0) & (number <= 100), F.lit(False))
+def valid_discount(c: Column | str, ready: bool = False) -> Column:
+    text = F.translate(_clean(c, ready), "\u2212 ", "-")
+    number = F.regexp_extract(text, r"(\d{1,3})%", 1).try_cast("int")
+    return F.coalesce(number.between(1, 100), F.lit(False))
 
 
-def digits_only(c: Column | str) -> Column:
-    return F.regexp_replace(normalize_value(c), r"\D+", "")
+def digits_only(c: Column | str, ready: bool = False) -> Column:
+    return F.regexp_replace(_clean(c, ready), r"\D+", "")
 
 
-def valid_barcode(c: Column | str) -> Column:
-    return F.length(digits_only(c)).between(8, 14)
+def valid_barcode(c: Column | str, ready: bool = False) -> Column:
+    return F.length(digits_only(c, ready)).between(8, 14)
 
 
 def valid_ean13(c: Column | str) -> Column:
@@ -107,34 +107,22 @@ def valid_ean13(c: Column | str) -> Column:
     return (F.length(text) == 13) & ((10 - weighted % 10) % 10 == digit(13))
 
 
-def valid_sku(c: Column | str) -> Column:
-    return F.length(digits_only(c)) == 12
+def valid_sku(c: Column | str, ready: bool = False) -> Column:
+    return F.length(digits_only(c, ready)) == 12
 
 
-def normalize_datetime(c: Column | str) -> Column:
-    value = normalize_value(c)
+def normalize_datetime(c: Column | str, ready: bool = False) -> Column:
+    value = _clean(c, ready)
     text = F.regexp_replace(F.translate(value, ",", "."), r"(?U)\s+", " ")
     text = F.regexp_replace(text, DOTTED_TIME, "$1 $2:$3")
-    part = [F.regexp_extract(text, STRICT_TIME, i) for i in range(1, 7)]
-    day, month, year, hour = part[:4]
-    minute = F.concat(part[4], part[5])
-    date = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d"))
-    seconds = F.regexp_extract(text, r":\d{1,2}:(\d{1,2})$", 1)
-    in_range = (
-        date.isNotNull() & (hour.try_cast("int") < 24) & (minute.try_cast("int") < 60)
-        & ((seconds == "") | (seconds.try_cast("int") <= 61))
-    )
-    exact = F.concat(
-        F.lpad(day, 2, "0"), F.lit("."), F.lpad(month, 2, "0"), F.lit("."),
-        year.try_cast("int").cast("string"), F.lit(" "),
-        hour.try_cast("int").cast("string"), F.lit(":"), F.lpad(minute, 2, "0"),
-    )
-    loose = F.regexp_extract(text, PLAIN_TIME, 0)
-    return _unless_missing(value, F.when(in_range, exact).otherwise(loose))
-
-
-def normalize_symbols(c: Column | str) -> Column:
-    value = normalize_value(c)
+    day = F.try_to_date(F.regexp_replace(text, STRICT_TIME, "=$3-$2-$1"), "'='yyyy-M-d")
+    clock = F.regexp_replace(F.regexp_replace(text, STRICT_TIME, "$4:0$5$6"), r":0(\d\d)$", ":$1")
+    exact = F.concat(F.date_format(day, "dd.MM.y"), F.lit(" "), clock)
+    return _unless_missing(value, F.coalesce(exact, F.regexp_extract(text, PLAIN_TIME, 0)))
+
+
+def normalize_symbols(c: Column | str, ready: bool = False) -> Column:
+    value = _clean(c, ready)
     letters = "".join(SPECIAL_SYMBOLS)
     kept = F.regexp_replace(F.upper(value), f"[^{letters}]", "")
     return _unless_missing(value, F.array_join(F.array_distinct(F.split(kept, "")), ""))
@@ -146,43 +134,43 @@ def normalize_unit(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(table, text), F.lit(""))
 
 
-def normalize_field(field: str, c: Column | str) -> Column:
+def normalize_field(field: str, c: Column | str, ready: bool = False) -> Column:
     """Normal form of one named field."""
     if field in PRICE_COLUMNS:
-        return normalize_price(c)
+        return normalize_price(c, ready)
     if field in (*BARCODE_COLUMNS, "id_sku"):
-        value = normalize_value(c)
-        return _unless_missing(value, digits_only(value))
+        value = _clean(c, ready)
+        return _unless_missing(value, digits_only(value, True))
     if field == "discount_amount":
-        return normalize_discount(c)
+        return normalize_discount(c, ready)
     if field == "print_datetime":
-        return normalize_datetime(c)
+        return normalize_datetime(c, ready)
     if field == "special_symbols":
-        return normalize_symbols(c)
-    return normalize_value(c)
+        return normalize_symbols(c, ready)
+    return _clean(c, ready)
 
 
-def valid_field(field: str, c: Column | str) -> Column:
-    value = normalize_value(c)
+def valid_field(field: str, c: Column | str, ready: bool = False) -> Column:
+    value = _clean(c, ready)
     if field in PRICE_COLUMNS:
-        rule = valid_price(value)
+        rule = valid_price(value, True)
     elif field in BARCODE_COLUMNS:
-        rule = valid_barcode(value)
+        rule = valid_barcode(value, True)
     elif field == "id_sku":
-        rule = valid_sku(value)
+        rule = valid_sku(value, True)
     elif field == "print_datetime":
-        rule = normalize_datetime(value) != ""
+        rule = normalize_datetime(value, True) != ""
     elif field == "discount_amount":
-        rule = valid_discount(value)
+        rule = valid_discount(value, True)
     elif field == "special_symbols":
-        rule = normalize_symbols(value) != ""
+        rule = value.rlike(f"(?iu)[{''.join(SPECIAL_SYMBOLS)}]")
     else:
         rule = F.lit(True)
     return is_present(value) & rule
 
 
 def by_field(field: Column, rule, c: Column, fields: list[str]) -> Column:
-    """Apply a per-field rule to a long (field, value) table."""
+    """Apply a per-field rule to the normalised value of a long (field, value) table."""
     groups: dict[str, list[str]] = {}
     for name in fields:
         kind = (
@@ -192,10 +180,10 @@ def by_field(field: Column, rule, c: Column, fields: list[str]) -> Column:
             else "other"
         )
         groups.setdefault(kind, []).append(name)
-    result = rule("other", c)
+    result = rule("other", c, True)
     for kind, names in groups.items():
         if kind != "other":
-            result = F.when(field.isin(names), rule(kind, c)).otherwise(result)
+            result = F.when(field.isin(names), rule(kind, c, True)).otherwise(result)
     return result
 
 
@@ -212,7 +200,8 @@ def canonical_text(c: Column | str) -> Column:
 
 def same_value(left: Column | str, right: Column | str) -> Column:
     """Equal canonical text; two empty sides count as equal."""
-    return canonical_text(left) == canonical_text(right)
+    a, b = col_of(left), col_of(right)
+    return a.eqNullSafe(b) | (canonical_text(a) == canonical_text(b))
 
 
 def same_present(left: Column | str, right: Column | str) -> Column:
@@ -241,35 +230,48 @@ def loose_number(c: Column | str, default: float = 0.0) -> Column:
     return F.coalesce(found.try_cast("double"), F.lit(default))
 
 
-def half_even_tenths(c: Column) -> Column:
-    """Tenths of a double rounded on its exact binary value, ties to even.
+def let(value: Column, use) -> Column:
+    """Evaluate a value once and use it several times inside array functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scaled_half_even(size: Column, digits: int) -> Column:
+    """``size * 10^digits`` as a whole number, rounded on the exact binary value, ties to even.
 
-    ``20 * fraction`` is split into two exact terms, so the rounding error of their sum is known
-    and decides on which side of a tie the value lies.
+    The product is split into its double and the exact rounding error of that double; the error
+    decides on which side of a tie the true product lies. ``size`` must not be negative.
     """
-    x = F.abs(c)
-    base = F.floor(x).cast("double")
-    a, b = (x - base) * 16.0, (x - base) * 4.0
-    total = a + b
-    back = total - a
-    error = (a - (total - back)) + (b - back)
-    lower = F.floor(total / 2.0).cast("double")
-    rest = total - lower * 2.0
-    up = (rest > 1) | ((rest == 1) & ((error > 0) | ((error == 0) & (lower % 2 == 1))))
-    down_past = (rest == 0) & (error < 0) & (lower > 0)
-    tenths = base * 10 + lower + F.when(up, 1.0).otherwise(0.0)
-    return F.signum(c) * F.when(down_past, base * 10 + lower).otherwise(tenths)
+    scale = float(10 ** digits)
+
+    def decide(s: Column) -> Column:
+        rest = s["p"] - s["l"]
+        up = (rest > 0.5) | ((rest == 0.5) & ((s["e"] > 0) | ((s["e"] == 0) & (s["l"] % 2 == 1))))
+        return s["l"] + F.when(up, 1).otherwise(0)
+
+    halves = lambda x: F.struct(x.alias("x"), (x * 134217729.0 - (x * 134217729.0 - x)).alias("h"))
+    parts = lambda s: F.struct(
+        (s["x"] * scale).alias("p"), F.floor(s["x"] * scale).alias("l"),
+        ((s["h"] * scale - s["x"] * scale) + (s["x"] - s["h"]) * scale).alias("e"))
+    return let(let(let(size, halves), parts), decide)
+
+
+def fixed_decimals(c: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, ties decided on the exact binary value."""
+    scale = 10 ** digits
+
+    def exact(n: Column) -> Column:
+        return F.concat(F.floor(n / scale).cast("string"), F.lit("."),
+                        F.lpad((n % scale).cast("string"), digits, "0"))
+
+    near_tie = F.abs(F.abs(c * scale) % 1 - 0.5) < 1e-4
+    sign = F.when(c < 0, "-").otherwise("")
+    return F.when(near_tie, F.concat(sign, let(_scaled_half_even(F.abs(c), digits), exact))).otherwise(
+        F.format_string(f"%.{digits}f", c))
 
 
 def format_coordinate(c: Column) -> Column:
     """One decimal with comma, no trailing zero decimal."""
-    tenths = half_even_tenths(c).cast("bigint")
-    size = F.abs(tenths)
-    whole = F.floor(size / 10).cast("bigint").cast("string")
-    rest = (size % 10).cast("string")
-    sign = F.when(tenths < 0, "-").otherwise("")
-    return F.when(size % 10 == 0, F.concat(sign, whole)).otherwise(
-        F.concat(sign, whole, F.lit(","), rest))
+    return F.translate(F.regexp_replace(fixed_decimals(c, 1), r"\.0$", ""), ".", ",")
 
 
 def file_stem(c: Column, strip_dots: bool = False, empty: str = "frame") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagweave.functions.geometry import Box, from_normalized
+from tagweave.functions.text import fixed_decimals
 from tagweave.operators.ordering import hash_bucket, rank_in_group
 from tagweave.operators.spatial import suppress_overlaps
 from tagweave.schema import BOX_COLUMNS
@@ -163,7 +164,7 @@ def crop_manifest(detections: DataFrame, image: str, width: Column, height: Colu
     numbered = detections.withColumn("crop_no", F.row_number().over(
         Window.partitionBy(image).orderBy(*order)) - 1)
     rows = numbered.select(
-        image, "crop_no", F.format_string("%.4f", F.col("confidence")).alias("conf"),
+        image, "crop_no", fixed_decimals(F.col("confidence"), 4).alias("conf"),
         F.greatest(F.lit(0), whole("x_min")).alias("x1"), F.greatest(F.lit(0), whole("y_min")).alias("y1"),
         F.least(width.cast("bigint"), whole("x_max")).alias("x2"),
         F.least(height.cast("bigint"), whole("y_max")).alias("y2"))

@@ -49,18 +49,17 @@ def normalize_records(df: DataFrame, extra: list[str] | None = None) -> DataFram
         t.normalize_value(c).alias(c) if c in df.columns else defaults[c] for c in RECORD_COLUMNS])
 
 
-def long_fields(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    return df.select(*keys, *fields).unpivot(keys, fields, "field", "value")
-
-
 def validate_fields(df: DataFrame, keys: list[str], fields: list[str] | None = None) -> DataFrame:
-    """Long table (keys, field, value, normalized, valid)."""
+    """Long table (keys, field, value, normalized, valid).
+
+    Rules run while the table is wide, where every column has exactly one.
+    """
+    from tagweave.operators.voting import stack_fields
     fields = fields or VOTED_COLUMNS
-    rows = long_fields(df, keys, fields).withColumn("value", t.normalize_value("value"))
-    return rows.withColumns({
-        "normalized": t.by_field(F.col("field"), t.normalize_field, F.col("value"), fields),
-        "valid": t.by_field(F.col("field"), t.valid_field, F.col("value"), fields),
-    })
+    wide = df.select(*keys, *[t.normalize_value(c).alias(c) for c in fields])
+    return stack_fields(wide, keys, fields, {
+        "value": F.col, "normalized": lambda c: t.normalize_field(c, c, ready=True),
+        "valid": lambda c: t.valid_field(c, c, ready=True)})
 
 
 def rejection_rates(validated: DataFrame) -> DataFrame:

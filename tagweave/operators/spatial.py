@@ -176,18 +176,16 @@ def _match_in_arrays(t, p, keys, threshold) -> DataFrame:
 
     def step(done: Column, item: Column) -> Column:
         scored = F.transform(F.col("ps"), lambda q: F.struct(
-            iou(Box.struct(item["_tb"]), Box.struct(q["_pb"])).alias("iou"), q["_p"].alias("p")))
-        free = F.filter(scored, lambda s: (s["iou"] >= threshold) & (s["iou"] > 0)
-                        & ~F.exists(done, lambda d: d["_p"] == s["p"]))
-        best = F.array_max(F.transform(free, lambda s: s["iou"]))
-        pick = F.get(F.filter(free, lambda s: s["iou"] == best), F.lit(0))
-        row = F.struct(item["_t"].alias("_t"), pick["p"].alias("_p"), pick["iou"].alias("iou"))
-        return F.when(pick.isNull(), done).otherwise(F.array_append(done, row))
-
-    joined = truths.join(preds, keys)
+            (-iou(Box.struct(item["_tb"]), Box.struct(q["_pb"]))).alias("n"), q["_p"].alias("_p"),
+            item["_t"].alias("_t")))
+        free = F.filter(scored, lambda s: (s["n"] <= -threshold) & (s["n"] < 0)
+                        & ~F.exists(done, lambda d: d["_p"] == s["_p"]))
+        return F.concat(done, F.array_compact(F.array(F.array_min(free))))
+
     types = {f.name: f.dataType.simpleString() for f in [*t.schema.fields, *p.schema.fields]}
-    empty = F.expr(f"cast(array() as array<struct<_t:{types['_t']},_p:{types['_p']},iou:double>>)")
-    return joined.select(*keys, F.inline(F.aggregate(F.col("ts"), empty, step)))
+    empty = F.expr(f"cast(array() as array<struct<n:double,_p:{types['_p']},_t:{types['_t']}>>)")
+    return truths.join(preds, keys).select(*keys, F.inline(F.aggregate(F.col("ts"), empty, step))).select(
+        *keys, "_t", "_p", (-F.col("n")).alias("iou"))
 
 
 def _match_by_proposals(t, p, keys, threshold) -> DataFrame:

@@ -47,18 +47,9 @@ def build_full_frame(base: DataFrame, propagated: DataFrame, order: str, val_rat
 
 
 def number_by_video_time(frames: DataFrame, step: Column) -> DataFrame:
-    """Frame ids over videos and times; one bucket per video and label time."""
-    places = frames.groupBy("video_id", "frame_timestamp").count()
-    from pyspark.sql import Window
-    per_video = frames.groupBy("video_id").count().withColumn("_base", F.coalesce(F.sum("count").over(
-        Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    order = Window.partitionBy("video_id").orderBy("frame_timestamp").rowsBetween(Window.unboundedPreceding, -1)
-    places = places.withColumn("_before", F.coalesce(F.sum("count").over(order), F.lit(0))).drop("count")
-    inner = Window.partitionBy("video_id", "frame_timestamp").orderBy(step)
-    return (frames.withColumn("_n", F.row_number().over(inner)).join(places, ["video_id", "frame_timestamp"])
-            .join(per_video, "video_id")
-            .withColumn("frame_id", (F.col("_base") + F.col("_before") + F.col("_n") - 1).cast("bigint"))
-            .drop("_n", "_before", "_base"))
+    """Frame ids over videos, label times and steps; buckets are one minute of one video."""
+    bucket = F.struct(F.col("video_id"), F.floor(F.col("frame_timestamp") / 60_000).alias("minute"))
+    return lb.number_frames(frames, [F.col("video_id"), F.col("frame_timestamp"), step], bucket)
 
 
 def build_report(lines: DataFrame, rejected: int | Column = 0, empty: int | Column = 0) -> DataFrame:
