@@ -27,7 +27,8 @@ INPUTS = {
         SELECT l_orderkey % 8 AS video_id, CAST(floor(l_orderkey / 8) AS BIGINT) AS frame_index,
                CAST(floor(l_orderkey / 8) AS BIGINT) * 40 AS ts_ms,
                CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' ||
-               CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS crop_id,
+               CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' ||
+               CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS crop_id,
                CAST(l_linenumber AS BIGINT) AS o1, l_partkey AS o2, l_suppkey AS o3,
                CAST(l_partkey * 7919 % 97 AS DOUBLE) AS x_min,
                CAST(l_suppkey * 104729 % 61 AS DOUBLE) AS y_min,
