@@ -65,7 +65,7 @@ def label_totals(checked: DataFrame) -> DataFrame:
 def suppress_labels(parsed: DataFrame, keys: list[str], threshold: float = 0.75,
                     class_aware: bool = False) -> DataFrame:
     """Greedy suppression of label boxes, by class then line; only lines of five values count."""
-    rows = parsed.filter((F.col("values") == 5) & F.col("cx").isNotNull())
+    rows = parsed.filter((F.col("values") == 5) & F.col("cx").isNotNull() & F.col("class_id").isNotNull())
     group = [*keys, "class_id"] if class_aware else keys
     return suppress_overlaps(rows, group, [F.col("class_id"), F.col("line_no")], threshold)
 
