@@ -194,12 +194,25 @@ def expand(sql: str, table, each) -> str:
     return re.sub(r"\{(\w+)(?::([\d,]+))?\}", put, sql)
 
 
+def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. One that Spark would read in fewer tasks than it has cores (a few small files)
+    is spread out first; large tables are read as they lie."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """An input, or a given table, as a DataFrame over the parquet files of a folder."""
     if name in TABLES:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-    return spark.sql(expand(INPUTS[name], lambda t: f"parquet.`{folder}/{t}.parquet`",
-                            lambda values: f"LATERAL VIEW explode(array({values})) k AS n"))
+        return given(spark, folder, name)
+
+    def view(table: str) -> str:
+        label = f"tagweave_{table}"
+        given(spark, folder, table).createOrReplaceTempView(label)
+        return label
+
+    return spark.sql(expand(INPUTS[name], view, lambda values: f"LATERAL VIEW explode(array({values})) k AS n"))
 
 
 def check_sql(sql: str) -> str:
