@@ -109,9 +109,7 @@ def test_user_reader_isolates_faults(spark):
 
 def test_stream_of_tracks_equals_batch(spark):
     ob = load(spark, SMALL, "observations").withColumn("track_id", F.when(F.col("seq") % 3 == 0, F.col("track_no") % 20)).drop("track_no")
-    folder, schema = runs.replay(ob, "seq", 3)
-    from tagweave.session import run_folder
-    live = runs.run_to_files(stateful.stream_tracks(runs.read_stream(spark, folder, schema)), run_folder(spark, "t")).collect()
+    live = spark.read.parquet(runs.replay(ob, "seq", stateful.stream_tracks, slices=3)).collect()
     batch = {r.seq: (r.video_id, r.part, r.track_no) for r in tracking.assign_tracks(ob, "video_id", "seq").collect()}
     pairs = {((r.video_id, r.track_no), batch[r.seq]) for r in live}
     assert len(live) == len(batch) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
