@@ -157,12 +157,14 @@ def _manifest_columns(rows: DataFrame, video: str, frame: str, split: str) -> Da
 
 
 def crop_manifest(detections: DataFrame, image: str, width: Column, height: Column,
-                  order: list[Column]) -> DataFrame:
-    """Whole-pixel crop rows per detection, numbered within the image; empty crops drop out."""
-    from pyspark.sql import Window
+                  order: list[Column], bucket: Column) -> DataFrame:
+    """Whole-pixel crop rows per detection, numbered within the image; empty crops drop out.
+
+    ``bucket`` is any value that grows with the order, as for ``rank_in_group``.
+    """
     whole = lambda c: F.col(c).cast("bigint")
-    numbered = detections.withColumn("crop_no", F.row_number().over(
-        Window.partitionBy(image).orderBy(*order)) - 1)
+    numbered = rank_in_group(detections, [image], order, bucket, "crop_no").withColumn(
+        "crop_no", F.col("crop_no") - 1)
     rows = numbered.select(
         image, "crop_no", fixed_decimals(F.col("confidence"), 4).alias("conf"),
         F.greatest(F.lit(0), whole("x_min")).alias("x1"), F.greatest(F.lit(0), whole("y_min")).alias("y1"),

@@ -154,8 +154,8 @@ def first_sight_manifest(spark, sf):
     FROM r WHERE least(120, trunc(x_max)) > trunc(x_min) AND least(80, trunc(y_max)) > trunc(y_min)""")
 def crop_manifest(spark, sf):
     d = load(spark, sf, "detections").withColumn("image", F.concat_ws("_", "video_id", "frame_index"))
-    rows = lb.crop_manifest(d, "image", F.lit(120), F.lit(80), [F.desc("confidence"), *order()])
-    return rows.withColumn("crop_no", F.col("crop_no").cast("bigint"))
+    return lb.crop_manifest(d, "image", F.lit(120), F.lit(80), [F.desc("confidence"), *order()],
+                            F.floor(-F.col("confidence") * 1000))
 
 
 def built(spark, sf, mode):
