@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagweave.functions.geometry import Box, from_normalized
+from tagweave.functions.geometry import from_normalized
 from tagweave.functions.text import fixed_decimals
 from tagweave.operators.ordering import hash_bucket, rank_in_group
 from tagweave.operators.spatial import suppress_overlaps

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagweave.functions.geometry import Box
 from tagweave.operators import labels as lb, reports
 from tagweave.plans import datasets
 from tagweave.queries.boxes import FRAME, order, sql_nms

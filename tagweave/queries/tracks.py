@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagweave.functions import quality as q
-from tagweave.operators import fingerprints, labels as lb, ordering, records as rec, reports, timejoin, tracking, voting
+from tagweave.operators import fingerprints, labels as lb, ordering, reports, timejoin, tracking, voting
 from tagweave.plans import recognition
 from tagweave.queries.boxes import BEST_SCORE, BITS, FRAME, order
 from tagweave.queries.inputs import load
-from tagweave.queries.records import nv, sql_completeness, sql_price, sql_price_value
+from tagweave.queries.records import nv, sql_price, sql_price_value
 from tagweave.queries.registry import query
 from tagweave.schema import BOX_COLUMNS
 
