@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import compression_quality, packing, simhash, toxicity
+from tagweave.llm import (compression_quality, kmeans_tree, packing, preferences, sentencepieces, simhash, toxicity,
+                          url_rules, wordpiece_counts)
 from tagweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,16 +25,86 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op2_wordpiece_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return wordpiece_counts.counted(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                    ["doc_id"])
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op4_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.round_trips(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), **byte_bpe())
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judged(table(spark, folder, "pages"), rules, ["page_id"])
+
+
+SQL["op8_url_rules"] = f"""
+    WITH rules(r_host, r_path, r_verdict) AS (VALUES {', '.join(map(str, URL_RULES))}),
+    parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    fits AS (SELECT p.host, p.path, arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
+                    arg_max(r_verdict, length(r_host || r_path)) AS verdict
+             FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules
+             ON (p.host = r_host OR ends_with(p.host, '.' || r_host)) AND starts_with(p.path, r_path) GROUP BY ALL)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+    FROM parts LEFT JOIN fits USING (host, path)"""
+
+
+@query
+def op9_preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    chosen, rejected = preferences.other_endings(table(spark, folder, "conversations"))
+    return preferences.segments(chosen, rejected)
+
+
+SQL["op9_preference_pairs"] = """
+    WITH turns AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    ends AS (SELECT pair_id, max((turn, text)) AS last FROM turns WHERE role = 'assistant' GROUP BY pair_id),
+    pairs AS (SELECT a.pair_id, a.last[1] AS last_turn, b.last[2] AS other
+              FROM ends a JOIN ends b ON b.pair_id = a.pair_id + 1),
+    sides AS (SELECT *, row_number() OVER (PARTITION BY side, pair_id, turn ORDER BY role, text) AS place FROM (
+              SELECT DISTINCT side, pair_id, turn, role,
+                     CASE WHEN side = 1 AND turn = last_turn AND role = 'assistant' THEN other ELSE text END AS text
+              FROM turns JOIN pairs USING (pair_id) CROSS JOIN (SELECT unnest([0, 1]) AS side))),
+    shared AS (SELECT *, coalesce(bool_and(same) OVER (PARTITION BY pair_id ORDER BY turn, place), false) AS prompt
+               FROM (SELECT pair_id, turn, place, count(*) = 2 AND count(DISTINCT (role, text)) = 1 AS same
+                     FROM sides GROUP BY ALL)),
+    rows_ AS (SELECT pair_id, CASE WHEN prompt THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part,
+                     turn, place, role, '<|' || role || '|>' || chr(10) AS head,
+                     '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+              FROM sides JOIN shared USING (pair_id, turn, place) WHERE side = 0 OR NOT prompt),
+    placed AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, place
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM rows_)
+    SELECT pair_id, part, turn, CAST(place AS INT) AS place, role, rendered, start,
+           CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(head) END AS loss_start,
+           CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(rendered) END AS loss_end
+    FROM placed"""
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression_quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -22,7 +22,7 @@ from tagweave.llm.common import fit_logistic, fold, labelled_sample, score_texts
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
-FIT_ROWS, FIT_CHARS = 4000, 12_000_000
+FIT_ROWS, FIT_CHARS = 4000, 6_000_000
 
 
 @dataclass
