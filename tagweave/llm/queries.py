@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import (compression_quality, kmeans_tree, packing, preferences, sentencepieces, simhash, toxicity,
-                          url_rules, wordpiece_counts)
+from tagweave.llm import (bm25, compression_quality, kmeans_tree, packing, preferences, sentencepieces, simhash,
+                          toxicity, url_rules, wordpiece_counts)
 from tagweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), **byte_bpe())
 
 
+@query
+def op7_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.search(table(spark, folder, "documents"), F.col("doc_id") % 50 == 0, k=10)
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
