@@ -14,17 +14,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tagweave.llm.common import small_batches
 
 SPACE = "▁"
+#: Words whose ids a task remembers, and their greatest length.
+REMEMBERED, SHORT = 300_000, 24
 
 
 class CharacterMap:
@@ -119,7 +122,10 @@ class Normalizer:
             for k, byte in enumerate(mark):
                 wide[first[raw == 32] + k] = byte
             raw, place = wide, np.append(np.repeat(place[:-1], many), place[-1])
-        return raw.tobytes(), place
+        made = raw.tobytes()
+        while self.trim and self.escape and made.endswith(SPACE.encode()):  # a mark in the source ends like a space
+            made = made[:-len(SPACE.encode())]
+        return made, place[:len(made) + 1]
 
 
 class Encoder:
@@ -134,9 +140,30 @@ class Encoder:
         self.sizes = np.array([0 if self.pieces.is_control(i) else 1 if self.pieces.is_byte(i) else len(p.encode())
                                for i, p in enumerate(names)])
         self.unknown = self.pieces.unk_id()
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.pieces.encode(text, add_bos=True, add_eos=True), dtype="<u4")
+        self.ends = [array("I", [max(i, 0)]).tobytes() for i in (self.pieces.bos_id(), self.pieces.eos_id())]
+        # No merge crosses the border before a space mark if no piece has one inside; then words are encoded apart.
+        n = self.normalizer
+        self.by_word = (n.prefix and n.escape and not n.trim and not n.map.replace and min(self.pieces.bos_id(),
+                        self.pieces.eos_id()) >= 0 and not any(SPACE in p.lstrip(SPACE) for p in names))
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text with begin and end ids, as little-endian unsigned 32-bit integers."""
+        split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
+        split = [words if all(words) else None for words in split]
+        new = [w for w in set().union(*filter(None, split)) if w not in self.known]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            new = list(set().union(*filter(None, split)))
+        for word, ids in zip(new, self.pieces.encode(new, num_threads=1)):
+            self.known[word] = array("I", ids).tobytes()
+        out = [np.frombuffer(b"".join([self.ends[0], *map(self.known.__getitem__, words), self.ends[1]]), np.uint32)
+               if words else np.array(self.pieces.encode(t, add_bos=True, add_eos=True), np.uint32)
+               for t, words in zip(texts, split)]
+        for word in new:
+            if len(word) > SHORT:
+                del self.known[word]
+        return [i.astype("<u4", copy=False) for i in out]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last (exclusive) source byte of each id."""
@@ -193,7 +220,7 @@ def encoded(docs: DataFrame, model: str, carried: list[str]) -> DataFrame:
         e = encoder(model)
         for b in batches:
             texts = ["" if t is None else t for t in b.column("text").to_pylist()]
-            ids = [e.ids(t) for t in texts]
+            ids = e.ids(texts)
             spans = [e.spans(t, i) for t, i in zip(texts, ids)]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in carried), _lists([i.astype(np.int32) for i in ids]),
@@ -227,21 +254,23 @@ def decoded(rows: DataFrame, model: str, carried: list[str]) -> DataFrame:
 
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and span_bytes (source bytes that the spans cover) of every row."""
-    ids = encoded(docs, model, ["doc_id"])
-    spans = F.zip_with("starts", "ends", lambda a, b: b - a)
-    facts = ids.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
-                       F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("span_bytes"))
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(model).pieces
+        e = encoder(model)
         for b in batches:
-            found = [np.array(i, dtype="<u4") for i in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_tokens"),
-                 pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in found], pa.string()),
-                 pa.array([hashlib.sha256(pieces.decode(i.tolist()).encode()).hexdigest() for i in found], pa.string()),
-                 b.column("span_bytes")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
-
-    return facts.mapInArrow(run, StructType([
-        docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
-        StructField("decoded_sha256", StringType()), StructField("span_bytes", LongType())]))
+            rows = []
+            texts = ["" if t is None else t for t in b.column("text").to_pylist()]
+            for text, ids in zip(texts, e.ids(texts)):
+                starts, ends = e.spans(text, ids)
+                rows.append((len(ids), hashlib.sha256(ids).hexdigest(),
+                             hashlib.sha256(e.pieces.decode(ids.tolist()).encode()).hexdigest(),
+                             int((ends - starts).sum())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(
+                pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))],
+                ["doc_id", *names])
+
+    small_batches(docs.sparkSession)
+    kinds = (LongType(), StringType(), StringType(), LongType())
+    return docs.select("doc_id", "text").mapInArrow(run, StructType(
+        [docs.schema["doc_id"], *(StructField(n, k) for n, k in zip(names, kinds))]))
