@@ -102,72 +102,66 @@ def test_fingerprint_gate(spark, small_group):
     assert {(r.k, r.i) for r in got.collect()} == want
 
 
-def brute_tracks(rows, max_lost=5):
-    """Tracks of one video by the rules as written, nothing forgotten."""
-    tracks, out = [], {}
-    for r in rows:
-        frame, tid, score, box, code = r["frame_order"], r["track_id"], r["score"], tuple(r[c] for c in BOX_COLUMNS), r["barcode"]
-        found = next((k for k in tracks if tid is not None and k["id"] == tid), None)
-        if found is None:
-            best = 0.0
-            for k in tracks:
-                if frame - k["last"] > max_lost:
-                    continue
-                s = 3.0 if code and k["code"] == code else 0.0
-                o = iou(k["box"], box)
-                s += 1.2 + o if o >= 0.12 else 0.0
-                d = (((k["box"][0] + k["box"][2]) - (box[0] + box[2])) ** 2 / 4 + ((k["box"][1] + k["box"][3]) - (box[1] + box[3])) ** 2 / 4) ** 0.5
-                s += 1 - d / 250 * 0.5 if d <= 250 else 0.0
-                if s > best:
-                    best, found = s, k
-            found = found if best >= 1.0 else None
-        if found is None:
-            found = {"no": len(tracks), "id": tid, "last": frame, "score": score, "box": box, "code": code}
-            tracks.append(found)
-        else:
-            found["id"] = found["id"] if found["id"] is not None else tid
-            if score > found["score"]:
-                found["score"], found["box"] = score, box
-            if len(code) > len(found["code"]):
-                found["code"] = code
-            found["last"] = frame
-        out[r["seq"]] = found["no"]
-    return out
-
-
-@pytest.mark.parametrize("late", [False, True])
-def test_tracks(spark, late):
-    rng = random.Random(13)
-    rows, seq = [], 0
-    for video in (1, 2):
-        frame = 0
-        for _ in range(80):
-            frame += rng.choice([1, 1, 1, 2, 7])
-            for _ in range(rng.randrange(1, 4)):
-                x, y = rng.randrange(0, 900, 30), rng.randrange(0, 500, 30)
-                seq += 1
-                rows.append(dict(video_id=video, seq=seq, frame_order=frame, track_id=rng.choice([None, None, frame // 40 * 10 + rng.randrange(4)]),
-                                 score=rng.randrange(50) / 10, x_min=float(x), y_min=float(y), x_max=x + 40.0, y_max=y + 30.0,
-                                 barcode=rng.choice(["", "", "46000001", "460000022"]), is_late=False))
-        if late:
-            for r in rng.sample([r for r in rows if r["video_id"] == video and r["track_id"] is not None], 12):
-                seq += 1
-                rows.append({**r, "seq": seq, "is_late": True, "score": r["score"] + 3})
-    want = {}
-    for video in (1, 2):
-        mine = [r for r in rows if r["video_id"] == video]
-        want.update({(video, s): n for s, n in brute_tracks(mine).items()})
-    schema = f"video_id int, seq bigint, frame_order bigint, track_id bigint, score double, {BOX}, barcode string, is_late boolean"
-    names = [c.split()[0] for c in schema.split(", ")]
-    shuffled = rows[:]
-    rng.shuffle(shuffled)
-    df = spark.createDataFrame([tuple(r[n] for n in names) for r in shuffled], schema)
-    got = tracking.assign_tracks(df, "video_id", "seq", late="is_late" if late else None).collect()
-    assert len(got) == len(rows)
-    pairs = {((r.video_id, r.part, r.track_no), (r.video_id, want[(r.video_id, r.seq)])) for r in got}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-    if not late:
-        assert len({(r.video_id, r.part) for r in got}) > 2  # videos really were parted
+TRACK_ROW = "seq frame_order track_id score x y barcode product_name price_card is_late tag".split()
+# Scenes of one video each; boxes are 40 x 30 at (x, y), ``tag`` is the tag it must be, worked by hand.
+SCENES = {
+    "an id holds over any distance and silence": [
+        (1, 0, 7, 1.0, 0, 0, "", "", "", False, "a"), (2, 1, 7, 1.0, 900, 500, "", "", "", False, "a"),
+        (3, 99, 7, 1.0, 0, 0, "", "", "", False, "a"), (4, 99, 8, 1.0, 600, 0, "", "", "", False, "b")],
+    "overlap links until the tag is lost": [
+        (1, 0, None, 1.0, 0, 0, "", "", "", False, "a"), (2, 5, None, 1.0, 5, 0, "", "", "", False, "a"),
+        (3, 11, None, 1.0, 5, 0, "", "", "", False, "b")],
+    "nearness alone is not enough": [
+        (1, 0, None, 1.0, 0, 0, "", "", "", False, "a"), (2, 1, None, 1.0, 100, 0, "", "", "", False, "b")],
+    "a code links far tags, an absent one does not": [
+        (1, 0, None, 1.0, 0, 0, "46000001", "", "", False, "a"), (2, 1, None, 1.0, 2000, 900, "46000001", "", "", False, "a"),
+        (3, 1, None, 1.0, 4000, 900, "нет", "", "", False, "b"), (4, 2, None, 1.0, 6000, 900, "нет", "", "", False, "c")],
+    "name and price together link, the name alone does not": [
+        (1, 0, None, 1.0, 0, 0, "", "Вино", "10", False, "a"), (2, 1, None, 1.0, 2000, 0, "", "вино", "10", False, "a"),
+        (3, 2, None, 1.0, 5000, 0, "", "Вино", "11", False, "b")],
+    "of equal evidence the older tag": [
+        (1, 0, 1, 1.0, 0, 0, "", "", "", False, "a"), (2, 0, 2, 1.0, 0, 0, "", "", "", False, "a"),
+        (3, 0, 3, 1.0, 3000, 0, "46000001", "", "", False, "b"), (4, 1, None, 1.0, 9000, 0, "46000001", "", "", False, "b")],
+    "the best sighting gives the box": [
+        (1, 0, None, 1.0, 0, 0, "46000001", "", "", False, "a"), (2, 1, None, 5.0, 2000, 0, "46000001", "", "", False, "a"),
+        (3, 2, None, 1.0, 2004, 0, "", "", "", False, "a"), (4, 3, None, 1.0, 0, 0, "", "", "", False, "b")],
+    "the longer code stays": [
+        (1, 0, None, 1.0, 0, 0, "4600", "", "", False, "a"), (2, 1, None, 1.0, 2, 0, "46000001", "", "", False, "a"),
+        (3, 2, None, 1.0, 4, 0, "46", "", "", False, "a"), (4, 3, None, 1.0, 5000, 0, "46000001", "", "", False, "a"),
+        (5, 3, None, 1.0, 8000, 0, "46", "", "", False, "b")],
+    "late reads meet finished tags": [
+        (1, 0, None, 1.0, 0, 0, "46000001", "", "", False, "a"), (2, 50, None, 1.0, 0, 0, "46000002", "", "", False, "b"),
+        (3, 0, None, 9.0, 3000, 0, "46000001", "", "", True, "a"), (4, 50, None, 1.0, 3000, 900, "46000002", "", "", True, "b"),
+        (5, 20, None, 1.0, 9000, 0, "46000003", "", "", True, "c")],
+}
+
+
+def scene_rows(spark):
+    rows = [(video, *row) for video, scene in enumerate(SCENES.values()) for row in scene]
+    random.Random(13).shuffle(rows)
+    kinds = "video_id int, seq bigint, frame_order bigint, track_id bigint, score double, x double, y double, barcode string, " \
+            "product_name string, price_card string, is_late boolean, tag string"
+    assert [k.split()[0] for k in kinds.split(", ")][1:] == TRACK_ROW
+    rows = [tuple(float(v) if i in (5, 6) else v for i, v in enumerate(r)) for r in rows]
+    return spark.createDataFrame(rows, kinds).selectExpr("*", "x AS x_min", "y AS y_min", "x + 40 AS x_max", "y + 30 AS y_max")
+
+
+def test_tracks_of_scenes(spark):
+    got = tracking.assign_tracks(scene_rows(spark), "video_id", "seq", late="is_late").collect()
+    assert len(got) == sum(map(len, SCENES.values()))
+    for video, name in enumerate(SCENES):
+        pairs = {((r.part, r.track_no), r.tag) for r in got if r.video_id == video}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}), name
+
+
+def test_many_ids_take_linear_time():
+    book = tracking.TrackBook(tracking.TrackRules())
+    for i in range(30_000):
+        book.forget(i)
+        book.assign((i, i, 1.0, i % 7 * 400.0, 0.0, i % 7 * 400.0 + 40, 30.0, *[""] * 7))
+    assert book.count == 30_000 and len(book.listed) < 100  # what is out of reach has left the index
+    book.forget(30_000, after=100)
+    assert len(book.tags) <= 101
 
 
 def test_two_level_orders(spark):
