@@ -36,7 +36,7 @@ from tagweave.operators.ordering import rank_in_group
 CAPACITY, END = 2048, 0
 NODES, CHILDREN = 20_000, 4
 #: Pieces of one length that are numbered in one task.
-NUMBERED = 50_000
+NUMBERED = 1000
 WORD = 1000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -236,9 +236,11 @@ def placed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         base += times
     table = np.array(sorted(steps), dtype=np.int64).reshape(-1, 5)
     sent = parts.sparkSession.sparkContext.broadcast(table)
-    buckets = max(1, -(-max(counts.values(), default=1) // NUMBERED))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
-    ranked = rank_in_group(parts, ["length"], ["doc_id", "piece", "start", "ids_crc32"], bucket, "place")
+    spread = parts.sparkSession.createDataFrame(
+        [(s, -(-n // NUMBERED)) for s, n in counts.items()], "length bigint, buckets bigint")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
+    ranked = rank_in_group(parts.join(F.broadcast(spread), "length"), ["length"],
+                           ["doc_id", "piece", "start", "ids_crc32"], bucket, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, low, many, first, offset = sent.value.T
