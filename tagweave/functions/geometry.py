@@ -10,8 +10,22 @@ from tagweave.functions.text import fixed_decimals
 from tagweave.schema import BOX_COLUMNS
 
 
+def _at_least_zero(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+
 @dataclass(frozen=True)
 class Box:
+    """Corners as columns. A box with a missing corner has no size, and nothing is measured with it: a
+    NULL stays NULL in every function here."""
     x_min: Column
     y_min: Column
     x_max: Column
@@ -27,11 +41,11 @@ class Box:
 
     @property
     def width(self) -> Column:
-        return F.greatest(F.lit(0.0), self.x_max - self.x_min)
+        return _at_least_zero(self.x_max - self.x_min)
 
     @property
     def height(self) -> Column:
-        return F.greatest(F.lit(0.0), self.y_max - self.y_min)
+        return _at_least_zero(self.y_max - self.y_min)
 
     @property
     def area(self) -> Column:
@@ -58,7 +72,7 @@ class Box:
 
 
 def _within(c: Column, high: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(high.cast("double"), c))
+    return _at_least_zero(_smaller(high.cast("double"), c))
 
 
 def clamp(box: Box, width: Column, height: Column) -> Box:
@@ -74,8 +88,8 @@ def clip(box: Box, width: Column, height: Column) -> Box:
 
 def ordered(box: Box) -> Box:
     """Swap corners that arrive the wrong way round."""
-    return Box(F.least(box.x_min, box.x_max), F.least(box.y_min, box.y_max),
-               F.greatest(box.x_min, box.x_max), F.greatest(box.y_min, box.y_max))
+    return Box(_smaller(box.x_min, box.x_max), _smaller(box.y_min, box.y_max),
+               _larger(box.x_min, box.x_max), _larger(box.y_min, box.y_max))
 
 
 def expand(box: Box, width: Column, height: Column, pad: float) -> Box:
@@ -95,15 +109,14 @@ def grow_code_seed(box: Box, width: Column, height: Column) -> Box:
 
 
 def intersection(a: Box, b: Box) -> Column:
-    w = F.greatest(F.lit(0.0), F.least(a.x_max, b.x_max) - F.greatest(a.x_min, b.x_min))
-    h = F.greatest(F.lit(0.0), F.least(a.y_max, b.y_max) - F.greatest(a.y_min, b.y_min))
-    return w * h
+    return (_at_least_zero(_smaller(a.x_max, b.x_max) - _larger(a.x_min, b.x_min))
+            * _at_least_zero(_smaller(a.y_max, b.y_max) - _larger(a.y_min, b.y_min)))
 
 
 def iou(a: Box, b: Box) -> Column:
     inter = intersection(a, b)
     union = a.area + b.area - inter
-    return F.when(union > 0, inter / union).otherwise(0.0)
+    return F.when(union > 0, inter / union).when(union.isNotNull(), 0.0)
 
 
 def center_distance(a: Box, b: Box) -> Column:

@@ -58,6 +58,22 @@ def next_in_group(df: DataFrame, keys: list[str], position: str, value: str, nam
     )
 
 
+def next_or_same(rows: DataFrame, key: str, position: str, ahead: int, name: str, width: int = 4096) -> DataFrame:
+    """Distinct (key, position), and the smallest position of the key that is at least ``ahead`` later."""
+    at = rows.select(key, position).distinct()
+    asked = at.select(key, F.col(position).alias("_from"), (F.col(position) + ahead).alias("_p"))
+    there = at.select(key, F.lit(None).cast("bigint").alias("_from"), F.col(position).cast("bigint").alias("_p"))
+    both = asked.unionByName(there).withColumn("_bucket", F.floor(F.col("_p") / width))
+    real = F.when(F.col("_from").isNull(), F.col("_p"))
+    after = Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = (both.groupBy(key, "_bucket").agg(F.min(real).alias("_least"))
+             .withColumn("_later", F.first("_least", ignorenulls=True).over(after)).drop("_least"))
+    inner = Window.partitionBy(key, "_bucket").orderBy("_p").rangeBetween(0, Window.unboundedFollowing)
+    return (both.withColumn("_here", F.min(real).over(inner)).filter(F.col("_from").isNotNull())
+            .join(later, [key, "_bucket"])
+            .select(key, F.col("_from").alias(position), F.coalesce("_here", "_later").alias(name)))
+
+
 def carry_forward(df: DataFrame, keys: list[str], position: str, value: Column, name: str,
                   width: int = 1024) -> DataFrame:
     """Last non-NULL value up to and including this row, keys ordered by an integer position."""
@@ -89,6 +105,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int,
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row with the smallest order per key, combined map-side (no sort, no window)."""
+    """The row with the smallest order per key, combined before the shuffle. Rows and orders of texts
+    make it a sort aggregate: a task sorts its own rows by key."""
     picked = df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row"))
     return picked.select("_row.*")

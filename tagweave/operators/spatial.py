@@ -2,14 +2,16 @@
 
 Two boxes with IoU above a threshold t have widths (and heights) within a factor 1/t. Every box
 therefore registers on grids of two neighbouring scales per axis, at most four cells per axis, and
-any pair above the threshold shares a cell. All joins are equi-joins on those cells.
+any pair above the threshold shares a cell. For thresholds under 0.05 that factor is large or
+without bound; boxes then register on all scales from their own up to ``WIDEST``. All joins are
+equi-joins on those cells. A box without area, or with a missing corner, overlaps nothing.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagweave.functions.geometry import (
     Box, clip, iou, normalized_line, ordered, tiles, usable,
@@ -19,16 +21,18 @@ from tagweave.schema import BOX_COLUMNS
 from tagweave.session import cut_lineage
 
 SMALL_GROUP = 2048
+#: Side of the largest boxes that small thresholds are exact for.
+WIDEST = 1e7
 
 
 def _axis_cells(low: Column, high: Column, threshold: float) -> Column:
-    if threshold < 0.05:
-        raise ValueError("grid cells need a threshold of at least 0.05")
-    base = 1.000001 / min(threshold, 0.95)
+    base = 1.000001 / min(max(threshold, 0.05), 0.95)
     size = F.greatest(high - low, F.lit(1e-6))
     level = F.floor(F.log(size) / math.log(base))
+    top = F.lit(math.ceil(math.log(WIDEST) / math.log(base)))
+    levels = F.array(level, level + 1) if threshold >= 0.05 else F.sequence(level, F.greatest(level + 1, top))
     cell = lambda s: F.pow(F.lit(base), s + 1.0)
-    return F.flatten(F.transform(F.array(level, level + 1), lambda s: F.transform(
+    return F.flatten(F.transform(levels, lambda s: F.transform(
         F.sequence(F.floor(low / cell(s)), F.floor(high / cell(s))),
         lambda c: F.struct(s.alias("s"), c.alias("c")))))
 
@@ -70,6 +74,7 @@ def _cap_column(cap: Column | int) -> Column:
 
 
 def _suppress_in_arrays(df, keys, order, threshold, cap, rank) -> DataFrame:
+    """The fold carries positions and boxes of kept rows; whole rows are picked by position after it."""
     row = F.struct(F.struct(*order).alias("o"), F.struct(*BOX_COLUMNS).alias("b"),
                    F.struct("*").alias("row"))
     aggregates = [F.array_sort(F.collect_list(row)).alias("_rows")]
@@ -81,24 +86,33 @@ def _suppress_in_arrays(df, keys, order, threshold, cap, rank) -> DataFrame:
         clash = F.exists(kept, lambda k: iou(Box.struct(k["b"]), Box.struct(item["b"])) > threshold)
         return F.when(clash, kept).otherwise(F.array_append(kept, item))
 
-    kept = F.aggregate(F.col("_rows"), F.slice("_rows", 1, 0), step)
+    places = F.transform("_rows", lambda r, i: F.struct(i.alias("i"), r["b"].alias("b")))
+    kept = F.aggregate(places, F.slice(places, 1, 0), step)
     if cap is not None:
         kept = F.slice(kept, F.lit(1), F.col("_cap").cast("int"))
-    return (grouped.select(F.posexplode(kept).alias("_pos", "_item"))
-            .select("_item.row.*", (F.col("_pos") + 1).cast("bigint").alias(rank)))
+    return (grouped.select("_rows", F.posexplode(kept).alias("_pos", "_item"))
+            .select(F.get("_rows", F.col("_item.i"))["row"].alias("_row"), "_pos")
+            .select("_row.*", (F.col("_pos") + 1).cast("bigint").alias(rank)))
 
 
 def _suppress_in_rounds(df, keys, order, threshold, cap, rank) -> DataFrame:
-    """Rounds: a box first in all its cells is kept, boxes it overlaps leave, repeat."""
+    """Rounds: a box first in all its cells is kept, boxes it overlaps leave, repeat.
+
+    The first of all open boxes always leads, so every round settles at least one box.
+    """
     box = Box.of()
     by_box = [*keys, *BOX_COLUMNS]
+    solid = F.coalesce(box.area > 0, F.lit(False))
+    # What overlaps nothing is kept as it is.
+    flat = df.filter(~solid).select(*keys, F.struct(*order).alias("_o"), F.struct("*").alias("_row"))
     # Of equal boxes only the first can be kept, so copies collapse before anything else.
-    rows = (df.groupBy(*by_box)
+    rows = (df.filter(solid).groupBy(*by_box)
             .agg(F.min(F.struct(F.struct(*order).alias("o"), F.struct("*").alias("row"))).alias("m"))
             .select(*by_box, F.col("m.o").alias("_o"), F.col("m.row").alias("_row")))
     open_rows = cut_lineage(rows.withColumn("_cells", grid_cells(box, threshold)))
-    kept: DataFrame | None = None
-    while not open_rows.isEmpty():
+    kept = flat
+    left = open_rows.count()
+    while left:
         spread = open_rows.select(*keys, "_o", *BOX_COLUMNS, F.size("_cells").alias("_n"),
                                   F.explode("_cells").alias("_cell"))
         firsts = spread.groupBy(*keys, "_cell").agg(
@@ -115,8 +129,11 @@ def _suppress_in_rounds(df, keys, order, threshold, cap, rank) -> DataFrame:
                 .select(*keys, "_o").distinct())
         chosen = open_rows.join(leaders.select(*keys, "_o"), [*keys, "_o"], "left_semi")
         chosen = cut_lineage(chosen.select(*keys, "_o", "_row"))
-        kept = chosen if kept is None else kept.unionByName(chosen)
+        kept = kept.unionByName(chosen)
         open_rows = cut_lineage(open_rows.join(gone, [*keys, "_o"], "left_anti"))
+        before, left = left, open_rows.count()
+        if left >= before:
+            raise RuntimeError("suppression makes no progress; is the order total within the keys?")
     ranked = _rank_kept(kept, keys)
     if cap is not None:
         caps = df.groupBy(*keys).agg(_cap_column(cap).alias("_cap"))
@@ -151,8 +168,8 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, keys: list[str], truth_o
                 small_group: int = SMALL_GROUP) -> DataFrame:
     """Greedy one-to-one match: truth rows in order take the free prediction of highest IoU.
 
-    Returns ``(keys, truth_order, predicted_order, iou)`` for matched rows. ``predicted_order`` must
-    be unique within the keys; of equal IoUs the smaller one is taken.
+    Returns ``(keys, truth_order, predicted_order, iou)`` for matched rows. Of equal IoUs the smaller
+    predicted order is taken; rows that repeat an order value follow each other by their boxes.
     """
     t = truth.select(*keys, F.col(truth_order).alias("_t"), F.struct(*BOX_COLUMNS).alias("_tb"))
     p = predicted.select(*keys, F.col(predicted_order).alias("_p"),
@@ -165,25 +182,34 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, keys: list[str], truth_o
     hot = cut_lineage(hot)
     calm = _match_in_arrays(t.join(hot, keys, "left_anti"), p.join(hot, keys, "left_anti"),
                             keys, threshold)
-    busy = _match_by_proposals(t.join(hot, keys, "left_semi"), p.join(hot, keys, "left_semi"),
-                               keys, threshold)
+    busy = _match_by_proposals(_told_apart(t.join(hot, keys, "left_semi"), keys, "_t", "_tb"),
+                               _told_apart(p.join(hot, keys, "left_semi"), keys, "_p", "_pb"), keys, threshold)
+    busy = busy.select(*keys, F.col("_t.o").alias("_t"), F.col("_p.o").alias("_p"), "iou")
     return calm.unionByName(busy).select(*keys, *out)
 
 
+def _told_apart(rows: DataFrame, keys: list[str], order: str, box: str) -> DataFrame:
+    """Order values made unique: rows of one value follow their boxes, equal boxes are numbered."""
+    same = Window.partitionBy(*keys, order, box).orderBy(F.lit(0))
+    return rows.withColumn(order, F.struct(F.col(order).alias("o"), F.col(box).alias("b"),
+                                           F.row_number().over(same).alias("n")))
+
+
 def _match_in_arrays(t, p, keys, threshold) -> DataFrame:
+    """The walk over sorted arrays; rows are told apart by their place there."""
     truths = t.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_t", "_tb"))).alias("ts"))
     preds = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_pb"))).alias("ps"))
 
     def step(done: Column, item: Column) -> Column:
-        scored = F.transform(F.col("ps"), lambda q: F.struct(
-            (-iou(Box.struct(item["_tb"]), Box.struct(q["_pb"]))).alias("n"), q["_p"].alias("_p"),
-            item["_t"].alias("_t")))
+        scored = F.transform(F.col("ps"), lambda q, i: F.struct(
+            (-iou(Box.struct(item["_tb"]), Box.struct(q["_pb"]))).alias("n"), i.alias("i"),
+            q["_p"].alias("_p"), item["_t"].alias("_t")))
         free = F.filter(scored, lambda s: (s["n"] <= -threshold) & (s["n"] < 0)
-                        & ~F.exists(done, lambda d: d["_p"] == s["_p"]))
+                        & ~F.exists(done, lambda d: d["i"] == s["i"]))
         return F.concat(done, F.array_compact(F.array(F.array_min(free))))
 
     types = {f.name: f.dataType.simpleString() for f in [*t.schema.fields, *p.schema.fields]}
-    empty = F.expr(f"cast(array() as array<struct<n:double,_p:{types['_p']},_t:{types['_t']}>>)")
+    empty = F.expr(f"cast(array() as array<struct<n:double,i:int,_p:{types['_p']},_t:{types['_t']}>>)")
     return truths.join(preds, keys).select(*keys, F.inline(F.aggregate(F.col("ts"), empty, step))).select(
         *keys, "_t", "_p", (-F.col("n")).alias("iou"))
 

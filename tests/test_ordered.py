@@ -68,6 +68,48 @@ def test_matching(spark, small_group):
     assert {(r.g, r.t, r.p) for r in got} == want
 
 
+ODD_BOXES = [  # zero area twice, missing corners twice, an ordinary box twice, one that lies in a large one
+    (5.0, 5.0, 5.0, 9.0), (5.0, 5.0, 5.0, 9.0), (1.0, None, 9.0, 9.0), (1.0, None, 9.0, 9.0), (0.0, 0.0, 8.0, 8.0), (0.0, 0.0, 8.0, 8.0),
+    (1.0, 1.0, 3.0, 3.0), (100.0, 0.0, 160.0, 60.0), (110.0, 10.0, 112.0, 12.0)]
+
+
+@pytest.mark.parametrize("threshold, kept", [(0.5, [0, 1, 2, 3, 4, 6, 7, 8]), (0.03, [0, 1, 2, 3, 4, 7, 8]), (0.0, [0, 1, 2, 3, 4, 7])])
+@pytest.mark.parametrize("small_group", [2048, 1])
+def test_odd_boxes_on_both_paths(spark, threshold, kept, small_group):
+    df = spark.createDataFrame([("g", i, *b) for i, b in enumerate(ODD_BOXES)], f"g string, i int, {BOX}")
+    got = spatial.suppress_overlaps(df, ["g"], [F.col("i")], threshold, None, small_group).orderBy("kept_rank").collect()
+    assert [r.i for r in got] == kept and [r.kept_rank for r in got] == list(range(1, len(kept) + 1))
+
+
+@pytest.mark.parametrize("small_group", [2048, 1])
+def test_matching_rows_that_repeat_their_order(spark, small_group):
+    near, far = (0.0, 0.0, 10.0, 10.0), (50.0, 0.0, 60.0, 10.0)
+    truth = spark.createDataFrame([("g", 1, *near), ("g", 1, *far), ("g", 1, *near), ("g", 2, 0.0, None, 10.0, 10.0), ("g", 3, 5.0, 5.0, 5.0, 5.0)],
+                                  f"g string, t int, {BOX}")
+    pred = spark.createDataFrame([("g", 7, *near), ("g", 7, *far), ("g", 8, *near), ("g", 9, 5.0, 5.0, 5.0, 5.0)], f"g string, p int, {BOX}")
+    got = spatial.match_boxes(truth, pred, ["g"], "t", "p", 0.15, small_group).collect()
+    assert sorted((r.t, r.p) for r in got) == [(1, 7), (1, 7), (1, 8)]
+
+
+def test_a_missing_corner_makes_no_box(spark):
+    df = spark.createDataFrame([(1, 10.0, 10.0, None, 30.0), (2, 10.0, 10.0, 40.0, 30.0), (3, None, None, None, None)], f"i int, {BOX}")
+    assert [r.i for r in spatial.valid_boxes(df, F.lit(160), F.lit(120), swap=True).collect()] == [2]
+
+
+def test_sessions_like_a_walk(spark):
+    rng = random.Random(23)
+    rows = [(k, p) for k in ("a", "b") for p in rng.sample(range(30_000), 900)] + [("c", p) for p in range(0, 20_000, 5)] + [("c", 90_000)] * 2
+    want = {}
+    for key in "abc":
+        last = start = None
+        for p in sorted({p for k, p in rows if k == key}):
+            start = p if last is None or p - last > 40 else start
+            want[key, p], last = start, p
+    df = spark.createDataFrame(rows, "k string, p bigint")
+    got = timejoin.gap_sessions(df, ["k"], "p", 40).collect()
+    assert len(got) == len(rows) and {(r.k, r.p): r.session for r in got} == want
+
+
 def test_anti_overlap_and_plan_without_cross_join(spark):
     rng = random.Random(9)
     a = [("f", i, *b) for i, b in enumerate(boxes(rng, 80, 200))]
@@ -188,19 +230,21 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2
 
 
-def test_rail_carry_like_a_walk(spark):
+@pytest.mark.parametrize("share", [1.0, 0.6])
+def test_rail_carry_like_a_walk(spark, share):
     rng = random.Random(19)
-    frames = [(0, i, rng.choice([0.01, 0.5, 0.2])) for i in range(200)]
+    frames = [(v, i, rng.choice([0.01, 0.5, 0.2])) for v in (0, 1) for i in range(0, 400) if rng.random() < share and (v == 0 or i % 50)]
     df = spark.createDataFrame(frames, "v int, i int, s double")
-    got = {r.i: (r.roi_source, r.roi_score) for r in timejoin.carried_roi(df, "v", "i", "s", F.struct("i"), refresh=7).collect()}
-    good, at = None, -1
-    for _, i, s in frames:
-        if good is not None and i - at < 7:
-            want = ("rail_roi", good)
+    got = {(r.v, r.i): (r.roi_source, r.roi_score) for r in timejoin.carried_roi(df, "v", "i", "s", F.struct("i"), refresh=7).collect()}
+    good, at = {}, {}
+    for v, i, s in frames:
+        if v in good and i - at[v] < 7:
+            want = ("rail_roi", good[v])
         else:
-            at = i
+            at[v] = i
             if s >= 0.08:
-                good, want = s, ("rail_roi", s)
+                good[v] = s
+                want = ("rail_roi", s)
             else:
-                want = ("full_frame", 0.0) if good is None else ("cached_low_score", s)
-        assert got[i] == want
+                want = ("cached_low_score", s) if v in good else ("full_frame", 0.0)
+        assert got[v, i] == want
