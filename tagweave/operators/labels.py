@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagweave.functions.geometry import from_normalized
 from tagweave.functions.text import fixed_decimals
-from tagweave.operators.ordering import hash_bucket, rank_in_group
+from tagweave.operators.ordering import rank_by_range, rank_in_group
 from tagweave.operators.spatial import suppress_overlaps
 from tagweave.schema import BOX_COLUMNS
 
@@ -93,7 +93,7 @@ def exact_split(frames: DataFrame, key: Column, seed: int = 42, fraction: float
     n = frames.count()
     n_val = max(1, int(n * fraction)) if n > 1 else 0
     hashed = frames.withColumn("_h", seeded_key(seed, key))
-    ranked = rank_in_group(hashed, [], [F.col("_h"), key], hash_bucket(F.col("_h")), "_r")
+    ranked = rank_by_range(hashed, [], [F.col("_h"), key], "_r")
     return ranked.withColumn(name, F.when(F.col("_r") <= n_val, "val").otherwise("train")).drop("_h", "_r")
 
 
@@ -112,9 +112,9 @@ def modulo_split(frame_id: Column, ratio: float) -> Column:
     return F.when(frame_id % max(1, round(1 / ratio)) == 0, "val").otherwise("train")
 
 
-def number_frames(frames: DataFrame, order: list[Column], bucket: Column, name: str = "frame_id") -> DataFrame:
+def number_frames(frames: DataFrame, order: list[Column], name: str = "frame_id") -> DataFrame:
     """Consecutive ids from 0 over the whole table."""
-    ranked = rank_in_group(frames, [], order, bucket, "_r")
+    ranked = rank_by_range(frames, [], order, "_r")
     return ranked.withColumn(name, F.col("_r") - 1).drop("_r")
 
 

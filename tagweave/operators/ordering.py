@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tagweave.session import cut_lineage
+
 
 def _bucketed(keys: list[str]) -> list[str]:
     return [*keys, "_bucket"]
@@ -33,9 +35,12 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list, bucket: Column,
     )
 
 
-def hash_bucket(key: Column, digits: int = 3) -> Column:
-    """Leading hex digits of a hash text: buckets that follow the order of the hash."""
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")
+def rank_by_range(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Exact ``row_number`` without a bucket: Spark cuts the rows into ranges of sampled quantiles, which
+    are written out once; ranks are counted within ranges, and only one summary row per range and key
+    is ordered over a whole group. Keys of few rows and a whole table (no keys) are equally fine."""
+    cut = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    return rank_in_group(cut_lineage(cut), keys, order, F.col("_range"), name).drop("_range")
 
 
 def next_in_group(df: DataFrame, keys: list[str], position: str, value: str, name: str,
@@ -58,22 +63,6 @@ def next_in_group(df: DataFrame, keys: list[str], position: str, value: str, nam
     )
 
 
-def next_or_same(rows: DataFrame, key: str, position: str, ahead: int, name: str, width: int = 4096) -> DataFrame:
-    """Distinct (key, position), and the smallest position of the key that is at least ``ahead`` later."""
-    at = rows.select(key, position).distinct()
-    asked = at.select(key, F.col(position).alias("_from"), (F.col(position) + ahead).alias("_p"))
-    there = at.select(key, F.lit(None).cast("bigint").alias("_from"), F.col(position).cast("bigint").alias("_p"))
-    both = asked.unionByName(there).withColumn("_bucket", F.floor(F.col("_p") / width))
-    real = F.when(F.col("_from").isNull(), F.col("_p"))
-    after = Window.partitionBy(key).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    later = (both.groupBy(key, "_bucket").agg(F.min(real).alias("_least"))
-             .withColumn("_later", F.first("_least", ignorenulls=True).over(after)).drop("_least"))
-    inner = Window.partitionBy(key, "_bucket").orderBy("_p").rangeBetween(0, Window.unboundedFollowing)
-    return (both.withColumn("_here", F.min(real).over(inner)).filter(F.col("_from").isNotNull())
-            .join(later, [key, "_bucket"])
-            .select(key, F.col("_from").alias(position), F.coalesce("_here", "_later").alias(name)))
-
-
 def carry_forward(df: DataFrame, keys: list[str], position: str, value: Column, name: str,
                   width: int = 1024) -> DataFrame:
     """Last non-NULL value up to and including this row, keys ordered by an integer position."""

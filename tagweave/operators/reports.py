@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tagweave.operators.ordering import rank_in_group
 from tagweave.operators.records import compare_records
 from tagweave.operators.spatial import match_boxes
+from tagweave.session import cut_lineage
 from tagweave.schema import QUALITY_COLUMNS
 
 
@@ -107,15 +107,28 @@ def histogram_peak(histogram: DataFrame, keys: list[str], low: float, high: floa
         "center", F.round(low + (F.col("bin") + 0.5) * width, 6))
 
 
-def exact_quantiles(rows: DataFrame, column: str, shares: list[float], buckets: int = 4096) -> DataFrame:
-    """Interpolated quantiles of one column without collecting or sorting it in one task."""
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """Interpolated quantiles of one column without collecting or sorting it in one task.
+
+    Equal values become one counted row; counts are summed within ranges of sampled quantiles, and
+    only the ranges' totals are ordered together. Outliers and hot values are no matter.
+    """
     values = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    counted = values.groupBy("v").count().repartitionByRange("v").withColumn("_range", F.spark_partition_id())
+    counted = cut_lineage(counted)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = counted.groupBy("_range").agg(F.sum("count").alias("n"))
+    totals = totals.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_earlier"))
+    upto = Window.partitionBy("_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.sum("count").over(upto) + F.col("_earlier")
+    ranked = counted.join(F.broadcast(totals), "_range").withColumn("last", last)
+    n = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     places = {q: (n - 1) * q for q in shares}
     wanted = sorted({int(p) + 1 + k for p in places.values() for k in (0, 1)})
-    bucket = F.floor((F.col("v") - low) / ((high - low) or 1.0) * buckets) if n else F.lit(0)
-    ranked = rank_in_group(values, [], [F.col("v")], bucket, "r").filter(F.col("r").isin(wanted))
-    at = ranked.agg(F.map_from_arrays(F.collect_list("r"), F.collect_list("v")).alias("m"))
+    hits = ranked.select("v", F.explode(F.filter(F.array(*[F.lit(w).cast("bigint") for w in wanted]), lambda w: (
+        w <= F.col("last")) & (w > F.col("last") - F.col("count")))).alias("r"))
+    at = hits.agg(F.map_from_arrays(F.collect_list("r"), F.collect_list("v")).alias("m"))
+
     def quantile(p: float) -> Column:
         low_v = F.try_element_at("m", F.lit(int(p) + 1).cast("bigint"))
         high_v = F.coalesce(F.try_element_at("m", F.lit(int(p) + 2).cast("bigint")), low_v)

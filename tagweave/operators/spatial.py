@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagweave.functions.geometry import (
     Box, clip, iou, normalized_line, ordered, tiles, usable,
 )
-from tagweave.operators.ordering import rank_in_group
+from tagweave.operators.ordering import rank_by_range
 from tagweave.schema import BOX_COLUMNS
 from tagweave.session import cut_lineage
 
@@ -134,23 +134,13 @@ def _suppress_in_rounds(df, keys, order, threshold, cap, rank) -> DataFrame:
         before, left = left, open_rows.count()
         if left >= before:
             raise RuntimeError("suppression makes no progress; is the order total within the keys?")
-    ranked = _rank_kept(kept, keys)
+    ranked = rank_by_range(kept, keys, [F.col("_o")], "_rank")
     if cap is not None:
         caps = df.groupBy(*keys).agg(_cap_column(cap).alias("_cap"))
         ranked = ranked.join(caps, keys).filter(F.col("_rank") <= F.col("_cap"))
     return ranked.select("_row.*", F.col("_rank").alias(rank))
 
 
-def _rank_kept(kept: DataFrame, keys: list[str], buckets: int = 256) -> DataFrame:
-    """Rank kept rows by order; buckets cut the range of the leading order value."""
-    lead = F.col("_o.k0").try_cast("double")
-    edges = kept.groupBy(*keys).agg(F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-    share = F.when(F.col("_hi") > F.col("_lo"),
-                   (lead - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    bucket = F.floor(F.coalesce(share, F.lit(0.0)) * buckets)
-    return rank_in_group(kept.join(edges, keys), keys, [F.col("_o")], bucket, "_rank")
-
-
 def without_overlap(df: DataFrame, others: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Rows that overlap no box of ``others`` within the same key by more than the threshold."""
     boxes = (others.select(*keys, *[F.col(c).alias(f"o_{c}") for c in BOX_COLUMNS]).distinct()

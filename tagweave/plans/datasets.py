@@ -47,9 +47,8 @@ def build_full_frame(base: DataFrame, propagated: DataFrame, order: str, val_rat
 
 
 def number_by_video_time(frames: DataFrame, step: Column) -> DataFrame:
-    """Frame ids over videos, label times and steps; buckets are one minute of one video."""
-    bucket = F.struct(F.col("video_id"), F.floor(F.col("frame_timestamp") / 60_000).alias("minute"))
-    return lb.number_frames(frames, [F.col("video_id"), F.col("frame_timestamp"), step], bucket)
+    """Frame ids over videos, label times and steps."""
+    return lb.number_frames(frames, [F.col("video_id"), F.col("frame_timestamp"), step])
 
 
 def build_report(lines: DataFrame, rejected: int | Column = 0, empty: int | Column = 0) -> DataFrame:
@@ -120,12 +119,9 @@ def pseudo_label(detections: DataFrame, video: str, frame: str, width: Column, h
     return manifest, lines.filter(F.col("line").isNotNull())
 
 
-def name_classes(detections: DataFrame, names: DataFrame, max_names: int = 100_000) -> DataFrame:
+def name_classes(detections: DataFrame, names: DataFrame) -> DataFrame:
     """Class name per detection, the id itself where it has none."""
-    table = names.select("class_id", "name")
-    if table.limit(max_names + 1).count() <= max_names:
-        table = F.broadcast(table)
-    return detections.join(table, "class_id", "left").withColumn(
+    return detections.join(names.select("class_id", "name"), "class_id", "left").withColumn(
         "class_name", F.coalesce("name", F.col("class_id").cast("string"))).drop("name")
 
 

@@ -195,11 +195,8 @@ def expand(sql: str, table, each) -> str:
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. One that Spark would read in fewer tasks than it has cores (a few small files)
-    is spread out first; large tables are read as they lie."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:

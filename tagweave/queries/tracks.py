@@ -289,8 +289,7 @@ def counters(spark, sf):
     SELECT video_id, frame_index, row_number() OVER (ORDER BY video_id, frame_index) - 1 AS frame_id FROM (SELECT DISTINCT video_id, frame_index FROM {detections})""")
 def frame_ids(spark, sf):
     rows = load(spark, sf, "detections").select(*FRAME).distinct()
-    bucket = F.struct(F.col("video_id"), F.floor(F.col("frame_index") / 1024).alias("b"))
-    return lb.number_frames(rows, [F.col("video_id"), F.col("frame_index")], bucket)
+    return lb.number_frames(rows, [F.col("video_id"), F.col("frame_index")])
 
 
 # ---- jobs ---------------------------------------------------------------------------------------
