@@ -100,9 +100,9 @@ def count_class(c: Column, char_class: str) -> Column:
     return F.length(F.regexp_replace(c, f"[^{char_class}]", ""))
 
 
-def product_line_score(c: Column) -> Column:
-    """How much a line looks like a product name; below 2 it is not one."""
-    value = t.strip(c)
+def product_line_score(value: Column) -> Column:
+    """How much a line looks like a product name; below 2 it is not one. ``value`` is stripped already and
+    read many times, so it should be a column that is settled."""
     priced = value.rlike(r"(?<!\d)" + FUSION_PRICE + FUSION_PRICE_END) | value.rlike(BARCODE) | value.rlike(SKU)
     other = value.rlike(FUSION_DISCOUNT) | value.rlike(FUSION_TIME)
     words = F.regexp_count(value, F.lit(r"(?U)\w+"))

@@ -98,3 +98,10 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     make it a sort aggregate: a task sorts its own rows by key."""
     picked = df.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row"))
     return picked.select("_row.*")
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns added or replaced that are computed once each: a generator of one row keeps the
+    optimizer from writing their expressions into every later use."""
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
