@@ -130,3 +130,22 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_registry_is_complete():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 130
     assert json.dumps(sorted(queries()))
+
+
+def test_many_layouts_and_quoted_breaks(spark, tmp_path):
+    folder = tmp_path / "layouts"
+    folder.mkdir()
+    names = ["filename", "frame_timestamp", "x_min", "y_min", "x_max", "y_max"]
+    for i in range(30):
+        head = names[i % 6:] + names[:i % 6] + [f"extra_{i}"]
+        values = {n: f"{n}{i}" for n in names} | {f"extra_{i}": '"two\nlines, and ""quotes"""'}
+        (folder / f"{i}.csv").write_text("﻿" * (i % 2) + ",".join(head) + "\n" + ",".join(values[h] for h in head) + "\n", encoding="utf-8")
+    (folder / "other.csv").write_text("a,b\n1,2\n")
+    rows, report = readers.read_detection_csvs(spark, str(folder))
+    assert report.filter("used").count() == 30 and report.count() == 31
+    got = {r.filename: r for r in rows.collect()}
+    assert len(got) == 30
+    for i in range(30):
+        row = got[f"filename{i}"]
+        assert [row[n] for n in names] == [f"{n}{i}" for n in names] and row[f"extra_{i}"] == 'two\nlines, and "quotes"'
+        assert row[f"extra_{(i + 1) % 30}"] is None
