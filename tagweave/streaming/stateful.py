@@ -11,6 +11,7 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
@@ -86,32 +87,45 @@ def stream_tracks(observations: DataFrame, video: str = "video_id", seq: str = "
 # ---- fingerprint gate -----------------------------------------------------------------------
 
 def stream_gate(crops: DataFrame, keys: list[str], order: str, bits: str, score: str,
-                distance: int = 2) -> DataFrame:
-    """Crops that pass the near-duplicate gate; the state maps known fingerprints to their score."""
+                distance: int = 2, forget_after: int | None = None) -> DataFrame:
+    """Crops that pass the near-duplicate gate; the state has the known fingerprints as columns.
+
+    A fingerprint that passed is known for good, as in the batch gate; ``forget_after`` names a
+    distance in ``order`` after which it no longer blocks, for streams without an end.
+    """
     rows = crops.select(F.concat_ws("\x1f", *keys).alias("_key"), *keys, F.col(order).alias("_o"),
-                        F.col(bits).alias("_b"), F.col(score).cast("double").alias("_s"))
+                        F.array(F.col(bits).cast("bigint")).alias("_b"), F.col(score).cast("double").alias("_s"))
     kinds = {f.name: f.dataType.simpleString() for f in crops.schema.fields}
     out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{order} {kinds[order]}"])
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = {int(h): s for h, s in json.loads(state.get[0]).items()} if state.exists else {}
+        hashes, scores, orders = state.get if state.exists else ([], [], [])
         batch = _in_order(parts, ["_o"])
+        size = len(hashes)
+        known = [np.concatenate([np.array(old, kind), np.zeros(len(batch), kind)])
+                 for old, kind in ((hashes, np.int64), (scores, np.float64), (orders, np.int64))]
         passed = []
-        for b, s in zip(batch["_b"].tolist(), batch["_s"].tolist()):
-            if b is None or b != b:
+        for b, s, o in zip(batch["_b"].tolist(), batch["_s"].tolist(), batch["_o"].tolist()):
+            b = b[0]  # carried in a list, as a NULL would make the column doubles
+            if b is None:
                 passed.append(True)
                 continue
-            h = int(b) & 0xFFFFFFFFFFFFFFFF
-            near = any(v >= s and (h ^ k).bit_count() <= distance for k, v in known.items())
+            close = np.bitwise_count((known[0][:size] ^ b).view(np.uint64)) <= distance
+            if forget_after is not None:
+                close &= o - known[2][:size] <= forget_after
+            near = bool((close & (known[1][:size] >= s)).any())
             passed.append(not near)
             if not near:
-                known[h] = s
-        state.update((json.dumps(known),))
+                known[0][size], known[1][size], known[2][size] = b, s, o
+                size += 1
+        keep = np.ones(size, bool) if forget_after is None else batch["_o"].max() - known[2][:size] <= forget_after
+        state.update(tuple(k[:size][keep].tolist() for k in known))
         kept = batch[passed]
         yield kept[[*keys, "_o"]].rename(columns={"_o": order})
 
     return rows.groupBy("_key").applyInPandasWithState(
-        step, out, "known string", "append", GroupStateTimeout.NoTimeout)
+        step, out, "hashes array<bigint>, scores array<double>, orders array<bigint>", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 # ---- crop banks -----------------------------------------------------------------------------
