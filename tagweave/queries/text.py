@@ -91,6 +91,26 @@ def tag_prices(spark, sf):
         "conv_id", "turn", F.array_join(x.tag_prices(F.col("text")), " ").alias("prices"))
 
 
+# Prices in tag lines, whose shapes are known: a price line, and for the tag rules numbers of four digits or more
+# and the year and hour of a printed date, which read like a price with a blank.
+WHOLE, CENTS = "CAST(10 + o2 % 900 AS VARCHAR)", "lpad(CAST(o2 % 100 AS VARCHAR), 2, '0')"
+SPLIT = "CAST({0} // 100 AS VARCHAR) || '.' || lpad(CAST({0} % 100 AS VARCHAR), 2, '0')"
+
+
+@query("x1_line_prices", f"SELECT crop_id, line_no, CASE WHEN line_no = 1 THEN {WHOLE} || ',' || {CENTS} ELSE '' END AS prices FROM {{tag_lines}}")
+def fusion_line_prices(spark, sf):
+    return load(spark, sf, "tag_lines").select("crop_id", "line_no", F.array_join(x.fusion_prices(F.col("text")), " ").alias("prices"))
+
+
+@query("x2_line_prices", f"""
+    SELECT crop_id, line_no, CASE WHEN line_no = 1 THEN {WHOLE} || '.' || {CENTS}
+      WHEN line_no = 0 AND o2 % 3 = 0 AND o3 >= 1000 THEN {SPLIT.format('o3')}
+      WHEN line_no = 2 AND o2 % 4 = 1 AND o3 % 24 >= 10 THEN '2026.' || CAST(o3 % 24 AS VARCHAR)
+      WHEN line_no = 2 AND o2 % 4 = 3 AND o3 + 12 >= 1000 THEN {SPLIT.format('(o3 + 12)')} ELSE '' END AS prices FROM {{tag_lines}}""")
+def tag_line_prices(spark, sf):
+    return load(spark, sf, "tag_lines").select("crop_id", "line_no", F.array_join(x.tag_prices(F.col("text")), " ").alias("prices"))
+
+
 @query("x8_product_lines", """
     SELECT crop_id, line_no, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' .,:;|-') AS clean FROM {tag_lines}""")
 def product_lines(spark, sf):

@@ -200,6 +200,18 @@ def assign(spark, sf):
     return tracking.assign_tracks(ob, "video_id", "seq").select("video_id", "seq", "part", "track_no")
 
 
+@query("j6_tracks_by_id", """
+    SELECT video_id, seq, min(seq) OVER (PARTITION BY video_id, track_no) AS first_seq FROM {observations}""")
+def tracks_by_id(spark, sf):
+    """Every sighting has an id and tags are far apart and bare of texts, so tracks are the ids."""
+    ob = load(spark, sf, "observations")
+    far = ob.select("seq", "video_id", "frame_order", "score", F.col("track_no").alias("track_id"), *[
+        (F.col(c) + (F.col("track_no") * 10_000 if c.startswith("x") else 0)).alias(c) for c in BOX_COLUMNS])
+    tracked = tracking.assign_tracks(far, "video_id", "seq")
+    firsts = tracked.groupBy("video_id", "part", "track_no").agg(F.min("seq").alias("first_seq"))
+    return tracked.join(firsts, ["video_id", "part", "track_no"]).select("video_id", "seq", "first_seq")
+
+
 @query("j14_fingerprint_gate", f"""
     WITH RECURSIVE {BITS}, r AS (SELECT label, vec_id, hash, (vec_id * 7919 % 101) / 100.0E0 AS score, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM hashed),
     walk AS (SELECT label, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(id BIGINT, h VARCHAR, s DOUBLE)[]) AS kept FROM (SELECT DISTINCT label FROM r)
