@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagweave.functions.geometry import Box, normalized_line
+from tagweave.functions.geometry import Box, clip, normalized_line, usable
 from tagweave.operators import labels as lb, reports, timejoin
 from tagweave.operators.spatial import cut_into_tiles, suppress_overlaps, valid_boxes
 from tagweave.schema import BOX_COLUMNS
+from tagweave.session import cut_lineage
 
 
 def label_frames(labels: DataFrame, frames: DataFrame, reach_ms: float) -> DataFrame:
@@ -82,6 +83,42 @@ def add_propagated_to_train(base: DataFrame, propagated: DataFrame) -> DataFrame
     return base.unionByName(propagated.withColumn("split", F.lit("train")))
 
 
+def build_training_set(labels: DataFrame, frames: DataFrame, moved: DataFrame, order: str, steps: int, reach_ms: float,
+                       min_score: float = 0.42, val_ratio: float = 0.2, mode: str = "frame_id",
+                       neighbours: str = "any") -> tuple[DataFrame, DataFrame]:
+    """Label boxes and their measured places in neighbour frames to label lines with splits, and the report.
+
+    ``labels`` (video_id, frame_timestamp, ``order``, box) meet the nearest of ``frames`` (video_id,
+    ts_ms, width, height). ``moved`` has a row per box, direction (-1 or 1) and step up to ``steps``:
+    its place there and the match ``score``. A chain of steps ends at the first one with a score under
+    ``min_score`` or without a usable box; each chain that ends early is a rejection. ``neighbours``:
+    ``any`` splits neighbour frames like the others, ``train`` adds them to the training part only.
+    """
+    keys = ["video_id", "frame_timestamp"]
+    base = cut_lineage(label_frames(labels, frames, reach_ms).withColumn("offset", F.lit(0)))
+    sized = moved.join(base.select(*keys, "width", "height").distinct(), keys)
+    cut = clip(Box.of(), F.col("width"), F.col("height"))
+    chain = cut_lineage(timejoin.propagate_chain(
+        sized.withColumn("box_ok", F.coalesce(usable(cut), F.lit(False))), keys, min_score).filter("reached"))
+    passed = sized.join(chain.select(*keys, "direction", "step"), [*keys, "direction", "step"])
+    passed = valid_boxes(passed, F.col("width"), F.col("height")).withColumn("offset", F.col("direction") * F.col("step"))
+    columns = [*keys, "offset", order, "width", "height", *BOX_COLUMNS]
+    base, passed = base.select(*columns), passed.select(*columns)
+    if neighbours == "train":
+        own = build_full_frame(base, passed.limit(0), order, val_ratio, mode)
+        more = full_frame_labels(passed, [*keys, "offset"], order)
+        lines = add_propagated_to_train(own, more.withColumn("frame_id", F.lit(None).cast("bigint")))
+    elif neighbours == "any":
+        lines = build_full_frame(base, passed, order, val_ratio, mode)
+    else:
+        raise ValueError(f"unknown place for neighbours {neighbours!r}")
+    lines = cut_lineage(lines)
+    whole = chain.filter(F.col("step") == steps).count()
+    bases = base.select(*keys).distinct().count()
+    tried = bases + chain.count()
+    return lines, build_report(lines, 2 * bases - whole, tried - lines.select(*keys, "offset").distinct().count())
+
+
 def dedupe_labels(lines: DataFrame, keys: list[str], threshold: float = 0.75,
                   class_aware: bool = False) -> DataFrame:
     return lb.suppress_labels(lb.parse_label_lines(lines), keys, threshold, class_aware)

@@ -106,3 +106,36 @@ def test_large_sequence_numbers_survive_the_late_walk(spark):
     df = spark.createDataFrame(rows, f"video_id int, seq bigint, frame_order bigint, track_id bigint, score double, {BOX}, barcode string, is_late boolean")
     got = tracking.assign_tracks(df, "video_id", "seq", late="is_late").collect()
     assert sorted(r.seq for r in got) == [1, base + 1, base + 3] and len({(r.part, r.track_no) for r in got}) == 1
+
+
+def training_tables(spark):
+    labels = spark.createDataFrame(
+        [(1, 1000, 1, 10.0, 10.0, 50.0, 40.0), (1, 1000, 2, 10.0, 10.0, 50.0, 40.0), (1, 1000, 3, 60.0, 10.0, 61.0, 40.0),
+         (1, 5000, 4, 20.0, 20.0, 60.0, 60.0), (1, 5000, 5, 20.0, None, 60.0, 60.0), (1, 9000, 6, 0.0, 0.0, 1.0, 1.0), (2, 1000, 7, 10.0, 10.0, 50.0, 40.0)],
+        f"video_id int, frame_timestamp bigint, pos bigint, {BOX}")
+    frames = spark.createDataFrame([(1, t, 160, 120) for t in (1010, 4990, 9000)], "video_id int, ts_ms bigint, width int, height int")
+    moved = [(1, 1000, d, s, 1, 10.0 + d * s, 10.0, 50.0 + d * s, 40.0, 0.9) for d in (-1, 1) for s in (1, 2)]
+    moved += [(1, 5000, 1, 1, 4, 20.0, 20.0, 60.0, 60.0, 0.9), (1, 5000, 1, 2, 4, 20.0, 20.0, 60.0, 60.0, 0.1),  # score too low
+              (1, 5000, -1, 1, 4, -90.0, 20.0, -50.0, 60.0, 0.9), (1, 5000, -1, 2, 4, 20.0, 20.0, 60.0, 60.0, 0.9)]  # out of the frame
+    return labels, frames, spark.createDataFrame(
+        moved, f"video_id int, frame_timestamp bigint, direction int, step int, pos bigint, {BOX}, score double")
+
+
+def test_training_set(spark):
+    from tagweave.plans import datasets
+    lines, report = datasets.build_training_set(*training_tables(spark), "pos", 2, 50.0, val_ratio=0.5)
+    # Equal lines count once; thin boxes, boxes with a missing corner and labels without a frame drop out.
+    got = sorted((r.frame_timestamp, r.offset, r.pos) for r in lines.collect())
+    assert got == [(1000, -2, 1), (1000, -1, 1), (1000, 0, 1), (1000, 1, 1), (1000, 2, 1), (5000, 0, 4), (5000, 1, 4)]
+    assert {r.line for r in lines.filter("frame_timestamp = 1000 AND offset = 0").collect()} == {"0 0.187500 0.208333 0.250000 0.250000"}
+    # Frames 0 to 6 in order of video, time and step; every second one validates.
+    check(report.first(), train_images=3, val_images=4, labels=7, instances=7, base_frames=2, propagated_frames=5,
+          rejected_propagations=2, empty_labels=0)
+
+
+def test_training_set_with_neighbours_in_train(spark):
+    from tagweave.plans import datasets
+    lines, report = datasets.build_training_set(*training_tables(spark), "pos", 2, 50.0, val_ratio=0.5, neighbours="train")
+    assert {(r.frame_timestamp, r.split) for r in lines.filter("offset = 0").collect()} == {(1000, "val"), (5000, "train")}
+    assert {r.split for r in lines.filter("offset <> 0").collect()} == {"train"}
+    check(report.first(), train_images=6, val_images=1, propagated_frames=5)
