@@ -40,17 +40,23 @@ def write_nested(rows: DataFrame, path: str) -> None:
 
 
 def write_label_lines(labels: DataFrame, path: str, split: str = "split", image: str = "image",
-                      order: str = "line_no") -> None:
-    """Label lines by split and image, in order within the image."""
+                      order: str = "line_no", class_names: list[str] | None = None) -> None:
+    """Label lines by split and image, in order within the image; class names beside them."""
+    if class_names is not None:
+        names = labels.sparkSession.createDataFrame(list(enumerate(class_names)), "class_id int, name string")
+        names.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}.classes")
     rows = labels.select(F.col(split).alias("split"), F.col(image).alias("image"), order, "line")
     (rows.repartition("split", "image").sortWithinPartitions("split", "image", order)
      .write.mode("overwrite").partitionBy("split").parquet(path))
 
 
-def write_label_tree(labels: DataFrame, path: str, folder: str, order: str = "line_no") -> None:
-    """Label text files under the same relative folders as they came from."""
-    (labels.repartition(folder).sortWithinPartitions(folder, order).select(folder, "line")
-     .write.mode("overwrite").partitionBy(folder).text(path))
+def write_label_tree(labels: DataFrame, path: str, folder: str, order: str = "line_no",
+                     file: str | None = None) -> None:
+    """Label text files under the same relative folders as they came from; with ``file`` one per source
+    file, in a folder of its name."""
+    by = [folder, *([file] if file else [])]
+    (labels.repartition(*by).sortWithinPartitions(*by, order).select(*by, "line")
+     .write.mode("overwrite").partitionBy(*by).text(path))
 
 
 def write_report(report: DataFrame, path: str) -> None:
