@@ -15,7 +15,7 @@ HEADLINE = [
     "j2_suppress_overlaps", "j5_fallback_boxes", "j1_match_boxes", "a8_e4_evaluate", "a1_field_votes", "a3_voted_records",
     "j7_p14_tile_boxes", "j8_sharpest_frame", "j10_propagate_chain", "j14_near_counts", "w6_rail_carry",
     "w9_distinct_lines", "q1_q2_lenient_payloads", "q4_f6_parse_replies", "f4_extract_fusion", "a17_o12_variant_summary",
-    "t6_exact_split", "e2_recognize_tracks",
+    "t6_exact_split", "e2_recognize_tracks", "e1_recognize_labeled", "e3_fuse_observations", "j6_tracks_by_id",
 ]
 
 

@@ -327,7 +327,7 @@ def candidate_union(spark, sf):
     SELECT f.crop_id, f.source || ':fallback' AS source FROM {{detections}} f WHERE f.status = 'O' AND NOT EXISTS (
       SELECT 1 FROM {{detections}} t WHERE t.status = 'F' AND t.video_id = f.video_id AND t.frame_index = f.frame_index AND {sql_iou('t', 'f')} > 0.35)""")
 def fallback_boxes(spark, sf):
-    d = load(spark, sf, "detections")
+    d = load(spark, sf, "detections", spread=True)
     free = spatial.without_overlap(d.filter("status = 'O'"), d.filter("status = 'F'"), FRAME, 0.35)
     return free.select("crop_id", F.concat("source", F.lit(":fallback")).alias("source"))
 
@@ -419,7 +419,7 @@ TILE_CUT = """
       printf('0 %.6f %.6f %.6f %.6f', (p - tx + r - tx) / 2.0 / 640, (q - ty + s - ty) / 2.0 / 640, (r - p) / 640, (s - q) / 640) AS line
     FROM n WHERE r - p >= 3 AND s - q >= 3 AND (r - p) * (s - q) / greatest((c - a) * (e - b), 1.0) >= 0.25""")
 def tile_boxes(spark, sf):
-    rows = load(spark, sf, "detections").select("crop_id", *[(F.col(c) * 10).alias(c) for c in BOX_COLUMNS])
+    rows = load(spark, sf, "detections", spread=True).select("crop_id", *[(F.col(c) * 10).alias(c) for c in BOX_COLUMNS])
     cut = spatial.cut_into_tiles(rows, F.lit(1600), F.lit(1200))
     return cut.select("crop_id", F.col("tile_no").cast("bigint").alias("tile_no"), F.round("visibility", 9).alias("visibility"), "line")
 

@@ -194,19 +194,23 @@ def expand(sql: str, table, each) -> str:
     return re.sub(r"\{(\w+)(?::([\d,]+))?\}", put, sql)
 
 
-def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table, read as it lies."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def given(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table, read as it lies; with ``spread``, one that lies in fewer pieces than there are cores is
+    dealt out first."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """An input, or a given table, as a DataFrame over the parquet files of a folder."""
+def load(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """An input, or a given table, as a DataFrame over the parquet files of a folder. ``spread`` is for
+    queries that compute much per row without a shuffle before."""
     if name in TABLES:
-        return given(spark, folder, name)
+        return given(spark, folder, name, spread)
 
     def view(table: str) -> str:
-        label = f"tagweave_{table}"
-        given(spark, folder, table).createOrReplaceTempView(label)
+        label = f"tagweave_{table}{'_spread' if spread else ''}"
+        given(spark, folder, table, spread).createOrReplaceTempView(label)
         return label
 
     return spark.sql(expand(INPUTS[name], view, lambda values: f"LATERAL VIEW explode(array({values})) k AS n"))

@@ -9,7 +9,9 @@ from tagweave.functions.quality import completeness
 from tagweave.operators import records as rec
 from tagweave.queries.inputs import load
 from tagweave.queries.registry import query
-from tagweave.schema import FUSION_ABSENT_DEFAULTS, QUALITY_COLUMNS, RECORD_COLUMNS
+from tagweave.schema import (
+    BARCODE_COLUMNS, FUSION_ABSENT_DEFAULTS, PRICE_COLUMNS, QUALITY_COLUMNS, RECORD_COLUMNS, VOTED_COLUMNS,
+)
 from tagweave.session import run_folder
 from tagweave.sources import readers, writers
 
@@ -80,7 +82,7 @@ NORMAL = ", ".join(
 
 @query("p3_normalize_records", f"SELECT crop_id, {NORMAL} FROM {{raw_records}}")
 def normalized(spark, sf):
-    return rec.normalize_records(load(spark, sf, "raw_records"), ["crop_id"])
+    return rec.normalize_records(load(spark, sf, "raw_records", spread=True), ["crop_id"])
 
 
 @query("p1_empty_record", "SELECT filename, " + ", ".join(
@@ -92,8 +94,8 @@ def empty_records(spark, sf):
             .agg(F.count("*").alias("crops")))
 
 
-RULES = {
-    "price_default": (sql_price, lambda c: f"({sql_price_value(c)}) > 0"),
+KINDS = {
+    "price": (sql_price, lambda c: f"({sql_price_value(c)}) > 0"),
     "discount_amount": (sql_discount, lambda c: (
         f"coalesce(TRY_CAST(regexp_extract({sql_discount(c)}, '^-([0-9]{{1,3}})%$', 1) AS INT), 0) BETWEEN 1 AND 100")),
     "barcode": (lambda c: f"CASE WHEN {nv(c)} IN ('', 'нет') THEN {nv(c)} ELSE {sql_digits(c)} END",
@@ -102,25 +104,35 @@ RULES = {
                lambda c: f"length({sql_digits(c)}) = 12"),
     "print_datetime": (sql_time, lambda c: f"({sql_time(c)}) <> ''"),
     "special_symbols": (sql_symbols, lambda c: f"({sql_symbols(c)}) <> ''"),
-    "product_name": (nv, lambda c: "true"),
+    "text": (nv, lambda c: "true"),
 }
+RULES = {c: KINDS["price" if c in PRICE_COLUMNS else "barcode" if c in BARCODE_COLUMNS else c if c in KINDS else "text"]
+         for c in VOTED_COLUMNS}
+#: The header of one column is cut short in the records.
+RECORDS = "r AS (SELECT *, wholesale_level_1_coun AS wholesale_level_1_count FROM {raw_records})"
+
+
+def records(spark, sf):
+    return load(spark, sf, "raw_records", spread=True).withColumnRenamed("wholesale_level_1_coun", "wholesale_level_1_count")
+
+
 VALIDATED = " UNION ALL ".join(
     f"SELECT crop_id, '{f}' AS field, {nv(f)} AS value, {norm(f)} AS normalized, "
     f"{nv(f)} NOT IN ('', 'нет') AND {rule(f)} AS valid FROM r" for f, (norm, rule) in RULES.items())
 
 
-@query("f2_validate_fields", f"WITH r AS (SELECT * FROM {{raw_records}}) {VALIDATED}")
+@query("f2_validate_fields", f"WITH {RECORDS} {VALIDATED}")
 def validated(spark, sf):
-    return rec.validate_fields(load(spark, sf, "raw_records"), ["crop_id"], list(RULES))
+    return rec.validate_fields(records(spark, sf), ["crop_id"])
 
 
 @query("f2_rejection_rates", f"""
-    WITH r AS (SELECT * FROM {{raw_records}}), v AS ({VALIDATED})
+    WITH {RECORDS}, v AS ({VALIDATED})
     SELECT field, count(*) FILTER (value NOT IN ('', 'нет')) AS given, count(*) FILTER (valid) AS valid,
-           round(1 - count(*) FILTER (valid) / count(*) FILTER (value NOT IN ('', 'нет')), 6) AS rejected_share
+           round(CASE WHEN count(*) FILTER (value NOT IN ('', 'нет')) > 0 THEN 1 - count(*) FILTER (valid) / count(*) FILTER (value NOT IN ('', 'нет')) ELSE 0 END, 6) AS rejected_share
     FROM v GROUP BY field""")
 def rejections(spark, sf):
-    return rec.rejection_rates(rec.validate_fields(load(spark, sf, "raw_records"), ["crop_id"], list(RULES)))
+    return rec.rejection_rates(rec.validate_fields(records(spark, sf), ["crop_id"]))
 
 
 @query("n7_ean13", """
@@ -196,7 +208,7 @@ def derived(spark, sf):
            CASE WHEN d IN ('', 'нет') AND p1 NOT IN ('', 'нет') THEN p1 ELSE d END AS price_default,
            CASE WHEN c IN ('', 'нет') AND p4 NOT IN ('', 'нет') THEN p4 ELSE c END AS price_card FROM a""")
 def copied(spark, sf):
-    rows = rec.derive_fields(rec.normalize_records(load(spark, sf, "raw_records"), ["crop_id"]), True)
+    rows = rec.derive_fields(rec.normalize_records(load(spark, sf, "raw_records", spread=True), ["crop_id"]), True)
     return rows.select("crop_id", "qr_code_barcode", "price1_qr", "price4_qr", "barcode", "price_default", "price_card")
 
 
@@ -242,7 +254,7 @@ def profile(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY ident ORDER BY filled DESC, crop_id) AS rn FROM k)
     SELECT crop_id, {nv('barcode')} AS barcode, {nv('id_sku')} AS id_sku FROM r WHERE ident IS NULL OR rn = 1""")
 def distinct(spark, sf):
-    rows = rec.normalize_records(load(spark, sf, "raw_records"), ["crop_id"])
+    rows = rec.normalize_records(load(spark, sf, "raw_records", spread=True), ["crop_id"])
     kept = rec.distinct_records(rows, [["price1_qr", "barcode"], ["barcode"], ["id_sku"]], [F.col("crop_id")])
     return kept.select("crop_id", "barcode", "id_sku")
 

@@ -134,14 +134,14 @@ def tag_product(spark, sf):
     SELECT crop_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY crop_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY confidence DESC, line_no) AS rn
     FROM {tag_lines}) WHERE rn = 1""")
 def distinct_lines(spark, sf):
-    return ev.distinct_lines(load(spark, sf, "tag_lines"), ["crop_id"]).select("crop_id", "line_no", "text")
+    return ev.distinct_lines(load(spark, sf, "tag_lines", spread=True), ["crop_id"]).select("crop_id", "line_no", "text")
 
 
 @query("w10_distinct_words", """
     SELECT crop_id, line_no, text FROM (SELECT *, regexp_replace(lower(text), '[^0-9a-zа-яё_]+', '', 'g') AS k, row_number() OVER (PARTITION BY crop_id,
       regexp_replace(lower(text), '[^0-9a-zа-яё_]+', '', 'g') ORDER BY confidence DESC, line_no) AS rn FROM {tag_lines}) WHERE rn = 1 AND k <> ''""")
 def distinct_words(spark, sf):
-    return ev.distinct_words(load(spark, sf, "tag_lines"), ["crop_id"]).select("crop_id", "line_no", "text")
+    return ev.distinct_words(load(spark, sf, "tag_lines", spread=True), ["crop_id"]).select("crop_id", "line_no", "text")
 
 
 @query("w8_neighbour_prices", """
@@ -191,15 +191,15 @@ def band_texts(spark, sf):
 
 @query("f4_extract_fusion")
 def extract_fusion(spark, sf):
-    lines = ev.distinct_lines(load(spark, sf, "tag_lines"), ["crop_id"])
-    parsed = pl.parse_payloads(load(spark, sf, "payloads"), ["crop_id", "payload_no"])
+    lines = ev.distinct_lines(load(spark, sf, "tag_lines", spread=True), ["crop_id"])
+    parsed = pl.parse_payloads(load(spark, sf, "payloads", spread=True), ["crop_id", "payload_no"])
     merged = pl.merge_payload_fields(parsed, ["crop_id"], "payload_no", "first")
     return ev.extract_fusion(lines, merged, ["crop_id"]).select("crop_id", *VOTED_COLUMNS)
 
 
 @query("f4_extract_best_crop")
 def extract_best_crop(spark, sf):
-    lines = ev.distinct_words(load(spark, sf, "tag_lines"), ["crop_id"])
+    lines = ev.distinct_words(load(spark, sf, "tag_lines", spread=True), ["crop_id"])
     return ev.extract_best_crop(lines, None, ["crop_id"]).select("crop_id", *VOTED_COLUMNS)
 
 
@@ -222,7 +222,7 @@ STRICT = f"""
 
 @query("q1_q2_lenient_payloads", LENIENT)
 def lenient(spark, sf):
-    return pl.parse_payloads(load(spark, sf, "payloads"), ["crop_id", "payload_no"]).drop("raw")
+    return pl.parse_payloads(load(spark, sf, "payloads", spread=True), ["crop_id", "payload_no"]).drop("raw")
 
 
 @query("q3_strict_payloads", STRICT)
