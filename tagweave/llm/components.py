@@ -20,11 +20,12 @@ def stars(links: DataFrame) -> DataFrame:
     seen = _sum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Written out, the minima meet the links in a join that Spark deals anew on both sides, so it can split it.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = (both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u <> v").distinct())
         large = written(large, "links")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = _sum(edges)
