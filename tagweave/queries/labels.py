@@ -244,6 +244,14 @@ def label_files(spark, sf):
     return spark.read.parquet(folder).select("image", "line_no", "line")
 
 
+@query("k8_label_tree", "SELECT CAST(image % 10 AS INT) AS folder, CAST(image % 100 AS INT) AS file, line FROM {label_lines} WHERE line <> ' '")
+def label_tree(spark, sf):
+    folder = run_folder(spark, "tree")
+    rows = load(spark, sf, "label_lines").filter("line <> ' '").withColumns({"folder": F.col("image") % 10, "file": F.col("image") % 100})
+    writers.write_label_tree(rows, folder, "folder", "line_no", "file")
+    return spark.read.text(folder).select("folder", "file", F.col("value").alias("line"))
+
+
 # ---- experiment -------------------------------------------------------------------------------
 
 SUMMARY = """SELECT variant, count(*) FILTER (decoded) AS decoded_count, count(*) AS total, count(*) FILTER (reader_a <> '') AS reader_a_ok,

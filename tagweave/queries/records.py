@@ -275,6 +275,24 @@ def record_csv(spark, sf):
     return readers.read_records_csv(spark, folder)
 
 
+@query("k2_append_results", f"SELECT {NORMAL} FROM {{raw_records}}")
+def appended_results(spark, sf):
+    """Two batches of videos appended to one folder, read back together."""
+    folder = run_folder(spark, "results")
+    rows = rec.normalize_records(load(spark, sf, "raw_records"), ["o2"])
+    writers.append_results(rows.filter("o2 % 2 = 0"), folder, first=True)
+    writers.append_results(rows.filter("o2 % 2 = 1"), folder)
+    return readers.read_records_csv(spark, folder)
+
+
+@query("k3_run_files", f"SELECT crop_id, {NORMAL} FROM {{raw_records}}")
+def run_files(spark, sf):
+    """The debug file, which keeps every column, read back."""
+    folder = run_folder(spark, "run")
+    writers.write_run_files(rec.normalize_records(load(spark, sf, "raw_records"), ["crop_id"]), folder)
+    return spark.read.json(f"{folder}/debug.json").select("crop_id", *RECORD_COLUMNS)
+
+
 @query("s2_typed_labels", """
     SELECT crop_id, CAST(replace(x_min, ',', '.') AS DOUBLE) AS x_min, CAST(replace(y_max, ',', '.') AS DOUBLE) AS y_max,
            CAST(frame_timestamp AS DOUBLE) AS frame_timestamp FROM {raw_records}""")
