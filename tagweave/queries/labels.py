@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagweave.functions.quality import colour_candidate_confidence
 from tagweave.operators import labels as lb, reports
 from tagweave.plans import datasets
 from tagweave.queries.boxes import FRAME, order, sql_nms
@@ -244,6 +245,13 @@ def label_files(spark, sf):
     return spark.read.parquet(folder).select("image", "line_no", "line")
 
 
+@query("g12_colour_confidence", """
+    SELECT crop_id, CASE WHEN o2 % 100 >= 18 THEN round(least(0.68E0, 0.25E0 + o2 % 100 / 100.0E0 * 0.55E0), 9) END AS confidence FROM {detections}""")
+def colour_confidence(spark, sf):
+    fill = F.col("o2") % 100 / F.lit(100.0)
+    return load(spark, sf, "detections").select("crop_id", F.round(colour_candidate_confidence(fill), 9).alias("confidence"))
+
+
 @query("k8_label_tree", "SELECT CAST(image % 10 AS INT) AS folder, CAST(image % 100 AS INT) AS file, line FROM {label_lines} WHERE line <> ' '")
 def label_tree(spark, sf):
     folder = run_folder(spark, "tree")

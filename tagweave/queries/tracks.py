@@ -200,14 +200,17 @@ def assign(spark, sf):
     return tracking.assign_tracks(ob, "video_id", "seq").select("video_id", "seq", "part", "track_no")
 
 
+def far_observations(spark, sf):
+    """Every sighting has an id, and tags are far apart and bare of texts, so that tracks are the ids."""
+    return load(spark, sf, "observations").select(
+        "seq", "video_id", "frame_order", "score", F.col("track_no").alias("track_id"), (F.col("seq") % 5 == 0).alias("is_late"),
+        *[(F.col(c) + (F.col("track_no") * 10_000 if c.startswith("x") else 0)).alias(c) for c in BOX_COLUMNS])
+
+
 @query("j6_tracks_by_id", """
     SELECT video_id, seq, min(seq) OVER (PARTITION BY video_id, track_no) AS first_seq FROM {observations}""")
 def tracks_by_id(spark, sf):
-    """Every sighting has an id and tags are far apart and bare of texts, so tracks are the ids."""
-    ob = load(spark, sf, "observations")
-    far = ob.select("seq", "video_id", "frame_order", "score", F.col("track_no").alias("track_id"), *[
-        (F.col(c) + (F.col("track_no") * 10_000 if c.startswith("x") else 0)).alias(c) for c in BOX_COLUMNS])
-    tracked = tracking.assign_tracks(far, "video_id", "seq")
+    tracked = tracking.assign_tracks(far_observations(spark, sf), "video_id", "seq")
     firsts = tracked.groupBy("video_id", "part", "track_no").agg(F.min("seq").alias("first_seq"))
     return tracked.join(firsts, ["video_id", "part", "track_no"]).select("video_id", "seq", "first_seq")
 
