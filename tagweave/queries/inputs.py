@@ -102,7 +102,22 @@ INPUTS = {
                     WHEN event_id % 6 = 4 THEN '12' ELSE NULL END AS barcode,
                CASE WHEN event_id % 3 = 0 THEN '-' || CAST(event_id % 120 AS STRING) || '%' ELSE 'нет' END AS discount_amount,
                CASE WHEN event_id % 3 = 0 THEN 'red' ELSE 'white' END AS color,
-               CASE WHEN event_id % 8 = 0 THEN CAST(user_id + 100 AS STRING) || '.99' ELSE 'нет' END AS price1_qr
+               CASE WHEN event_id % 8 = 0 THEN CAST(user_id + 100 AS STRING) || '.99' ELSE 'нет' END AS price1_qr,
+               CASE event_id % 4 WHEN 0 THEN 'нет' WHEN 1 THEN 'цена' WHEN 2 THEN CAST(user_id % 50 + 1 AS STRING) || ',5' ELSE '' END AS price_discount,
+               CASE event_id % 3 WHEN 0 THEN CAST(270000000000 + user_id AS STRING) WHEN 1 THEN '27' ELSE '' END AS id_sku,
+               CASE event_id % 4 WHEN 0 THEN '03.04.2026 ' || CAST(user_id % 24 AS STRING) || '.05' WHEN 1 THEN 'вчера' WHEN 2 THEN 'нет'
+                    ELSE lpad(CAST(1 + user_id % 28 AS STRING), 2, '0') || '.05.2026 7:' || lpad(CAST(event_id % 2 AS STRING), 2, '0') END AS print_datetime,
+               CASE WHEN event_id % 2 = 0 THEN 'нет' ELSE '01_02501' || CAST(user_id % 10 AS STRING) END AS code,
+               CASE event_id % 3 WHEN 0 THEN 'Сухое' WHEN 1 THEN 'Полусухое' ELSE '' END AS additional_info,
+               CASE event_id % 4 WHEN 0 THEN 'шКк' WHEN 1 THEN 'нет' WHEN 2 THEN 'x' ELSE 'л' END AS special_symbols,
+               CASE event_id % 3 WHEN 0 THEN '46-' || CAST(1000000 + user_id AS STRING) WHEN 1 THEN '46' ELSE 'нет' END AS qr_code_barcode,
+               CASE WHEN event_id % 2 = 0 THEN CAST(user_id + 1 AS STRING) ELSE '' END AS price2_qr, 'нет' AS price3_qr,
+               CASE event_id % 3 WHEN 0 THEN CAST(user_id + 2 AS STRING) || '.0' WHEN 1 THEN '0' ELSE 'нет' END AS price4_qr,
+               CASE WHEN event_id % 2 = 0 THEN '3.0' ELSE 'нет' END AS wholesale_level_1_count,
+               CASE WHEN event_id % 5 = 0 THEN CAST(user_id + 3 AS STRING) || ',1' ELSE 'нет' END AS wholesale_level_1_price,
+               CASE WHEN event_id % 7 = 0 THEN '12' ELSE '' END AS wholesale_level_2_count, 'нет' AS wholesale_level_2_price,
+               CASE WHEN event_id % 6 = 0 THEN '9999999,5' ELSE 'нет' END AS action_price_qr,
+               CASE WHEN event_id % 3 = 0 THEN 'A ' || CAST(user_id % 7 AS STRING) ELSE '' END AS action_code_qr
         FROM {events}""",
     # Labelled records, wide, with raw texts as people type them.
     "raw_records": """

@@ -9,11 +9,11 @@ from tagweave.operators import fingerprints, labels as lb, ordering, reports, ti
 from tagweave.plans import recognition
 from tagweave.queries.boxes import BEST_SCORE, BITS, FRAME, order
 from tagweave.queries.inputs import load
-from tagweave.queries.records import nv, sql_price, sql_price_value
+from tagweave.queries.records import RULES, nv, sql_price, sql_price_value
 from tagweave.queries.registry import query
-from tagweave.schema import BOX_COLUMNS
+from tagweave.schema import BOX_COLUMNS, STRICT_COLUMNS, VOTED_COLUMNS
 
-VOTED = ["product_name", "price_default", "price_card", "barcode", "discount_amount", "color", "price1_qr"]
+VOTED = VOTED_COLUMNS
 TRACK = ["video_id", "track_no"]
 O = "o1, o2, o3, frame_index"  # noqa: E741
 
@@ -71,35 +71,17 @@ def gaps(spark, sf):
 
 # ---- votes ----------------------------------------------------------------------------------
 
-def _norm(c: str) -> str:
-    if c.startswith("price"):
-        return sql_price(c)
-    if c == "barcode":
-        return f"CASE WHEN {nv(c)} IN ('', 'нет') THEN {nv(c)} ELSE regexp_replace({nv(c)}, '[^0-9]+', '', 'g') END"
-    return nv(c)
-
-
-def _valid(c: str) -> str:
-    if c.startswith("price"):
-        return f"({sql_price_value(c)}) > 0"
-    if c == "barcode":
-        return f"length(regexp_replace({nv(c)}, '[^0-9]+', '', 'g')) BETWEEN 8 AND 14"
-    if c == "discount_amount":
-        return f"coalesce(TRY_CAST(regexp_extract({nv(c)}, '^-([0-9]{{1,3}})%$', 1) AS INT), 0) BETWEEN 1 AND 100"
-    return "true"
-
-
 WEIGHT = ("CASE source WHEN 'qr' THEN 1.0E0 WHEN 'zxingcpp' THEN 0.95E0 WHEN 'pyzbar' THEN 0.92E0 WHEN 'opencv_qr' THEN 0.88E0 WHEN 'paddleocr' THEN 0.78E0 "
           "WHEN 'tesseract' THEN 0.68E0 WHEN 'regex' THEN 0.62E0 WHEN 'derived' THEN 0.45E0 WHEN 'yolo' THEN 0.35E0 WHEN 'qr_seed' THEN 0.35E0 ELSE 0.5E0 END")
 LONG = " UNION ALL ".join(
-    f"SELECT video_id, track_no, seq, '{c}' AS field, {_norm(c)} AS value, {nv(c)} NOT IN ('', 'нет') AND {_valid(c)} AS ok, "
-    f"{'''CASE WHEN source = 'derived' THEN source ELSE 'qr' END''' if c.endswith('_qr') else '''CASE source WHEN '' THEN 'regex' ELSE source END'''} AS source, "
+    f"SELECT video_id, track_no, seq, '{c}' AS field, {RULES[c][0](c)} AS value, {nv(c)} NOT IN ('', 'нет') AND {RULES[c][1](c)} AS ok, "
+    f"{'''CASE WHEN source = 'derived' THEN source ELSE 'qr' END''' if c.endswith('_qr') or c.startswith(('qr_', 'wholesale')) else '''CASE source WHEN '' THEN 'regex' ELSE source END'''} AS source, "
     f"least(1.0, score / 12) AS share FROM ob" for c in VOTED)
 VOTES = f"""
     WITH ob AS (SELECT * FROM {{observations}}), l AS ({LONG}),
     c AS (SELECT video_id, track_no, seq, field, value, source, value = 'нет' OR ok AS validator_passed,
             CASE WHEN value = 'нет' THEN 0.05E0 ELSE greatest(0.0, least(1.0, share * {WEIGHT})) END AS confidence
-          FROM l WHERE value <> '' AND (ok OR value = 'нет' OR field NOT IN ('price_default', 'price_card', 'barcode', 'discount_amount'))),
+          FROM l WHERE value <> '' AND (ok OR value = 'нет' OR field NOT IN ({', '.join(repr(c) for c in STRICT_COLUMNS)}))),
     s AS (SELECT video_id, track_no, field, value, round(CAST(sum(CAST(confidence AS DECIMAL(18,15))) AS DOUBLE) + least(0.35E0, 0.08E0 * (count(*) - 1))
             + CASE WHEN bool_or(validator_passed) THEN 0.15E0 ELSE 0 END + max({WEIGHT}), 12) AS score, count(*) AS votes, bool_or(validator_passed) AS validator_passed,
             array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, min(seq) AS first_seq FROM c GROUP BY ALL),
