@@ -9,7 +9,7 @@ from tagweave.operators import fingerprints, labels as lb, ordering, reports, ti
 from tagweave.plans import recognition
 from tagweave.queries.boxes import BEST_SCORE, BITS, FRAME, order
 from tagweave.queries.inputs import load
-from tagweave.queries.records import RULES, nv, sql_price, sql_price_value
+from tagweave.queries.records import RULES, nv, sql_completeness, sql_price, sql_price_value
 from tagweave.queries.registry import query
 from tagweave.schema import BOX_COLUMNS, STRICT_COLUMNS, VOTED_COLUMNS
 
@@ -165,12 +165,10 @@ def min_observations(spark, sf):
 
 
 @query("c3_observation_score", f"""
-    SELECT seq, round(confidence * 2 + ({" + ".join(f"CASE WHEN {nv(c)} NOT IN ('', 'нет') THEN 1 ELSE 0 END" for c in VOTED)}) + sharpness / 500, 6) AS observation_score FROM {{observations}}""")
+    SELECT seq, round(confidence * 2 + ({sql_completeness()}) + sharpness / 500, 6) AS observation_score FROM {{observations}}""")
 def observation_score(spark, sf):
     ob = load(spark, sf, "observations")
-    from tagweave.schema import QUALITY_COLUMNS
-    filled = q.completeness({c: F.col(c) if c in VOTED else F.lit("") for c in QUALITY_COLUMNS})
-    return ob.select("seq", F.round(q.observation_score(F.col("confidence"), filled, F.col("sharpness")), 6).alias("observation_score"))
+    return ob.select("seq", F.round(q.observation_score(F.col("confidence"), q.completeness(), F.col("sharpness")), 6).alias("observation_score"))
 
 
 # ---- association ------------------------------------------------------------------------------
