@@ -32,7 +32,8 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash fingerprints link, the one with the smallest doc_id."""
+    """One document of each group of near copies (shingles of five words, similarity 0.8 or more), the one with the
+    smallest doc_id."""
     return simhash.keep_one(docs)
 
 

@@ -1,6 +1,7 @@
 """Odd rows for every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -120,3 +121,61 @@ def test_forest_finds_all_near_members():
     x, y = simhash.Forest(v, shard, np.ones(len(v), bool)).search(np.arange(len(v)), 4)
     close = (np.bitwise_count(v[:, None] ^ v[None, :]) <= 4) & (shard[:, None] == shard) & ~np.eye(len(v), dtype=bool)
     assert set(zip(x.tolist(), y.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(close))))
+
+
+@pytest.mark.parametrize("first_bands", [2, 16])
+def test_stage_drops_near_copies_and_no_others(spark, monkeypatch, first_bands):
+    """Planted copies at 0.8 to 0.95 go, those at 0.5 to 0.79 stay; lengths of 40 to 400 words, also split shards."""
+    monkeypatch.setattr(simhash, "FIRST_BANDS", first_bands)
+    rng = np.random.default_rng(11)
+    rows, near, far = [], {}, set()
+
+    def add(words):
+        rows.append((len(rows), " ".join(map(str, words))))
+        return len(rows) - 1
+
+    for n in range(360):
+        wanted = (0.5, 0.7, 0.79, 0.8, 0.85, 0.9, 0.95)[n % 7]
+        words = rng.integers(0, 10**9, int(rng.integers(40, 400)))
+        shingles = len(words) - 4
+        shared = 2 * shingles * wanted / (1 + wanted)
+        shared = int(np.floor(shared)) if wanted < 0.8 else int(np.ceil(shared))
+        other = words.copy()
+        other[shared + 4:] = rng.integers(10**9, 2 * 10**9, shingles - shared)
+        sets = [{tuple(w[i:i + 5]) for i in range(shingles)} for w in (words.tolist(), other.tolist())]
+        alike = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        a, b = add(words), add(other)
+        far.add(a)
+        if alike >= 0.8:
+            near.setdefault(wanted, []).append(b)
+        else:
+            far.add(b)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert far <= kept
+    lost = {wanted: sum(i in kept for i in ids_) for wanted, ids_ in near.items()}
+    assert set(near) == {0.8, 0.85, 0.9, 0.95} and sum(lost.values()) <= 1, lost
+
+
+def test_split_shards_of_near_copies():
+    """A tree and its guests, taken in small steps, connect what all pairs do."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 100)
+    sets = [np.unique(np.append(base[:rng.integers(70, 101)], rng.integers(0, 2**63, 12)).astype("<u8")) for _ in range(60)]
+    want = np.arange(len(sets))
+    alike = np.array([[5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for a in sets] for b in sets])
+    for _ in sets:
+        want = np.array([want[row].min() for row in alike])
+    links = []
+    for own in range(3):
+        mine = [(i, i % 3 != own) for i in range(len(sets)) if i % 3 <= own]
+        mine.sort(key=lambda m: (m[1], m[0]))
+        rows = [{"band": 0, "value": 7, "tree": own, "guest": guest, "node": i, "root": i, "fp": int(np.uint64(
+            simhash._majority(sets[i])).astype(np.int64)), "shingles": sets[i].tobytes()} for i, guest in mine]
+        batches = [pa.RecordBatch.from_pylist(rows[k:k + 5]) for k in range(0, len(rows), 5)]
+        for made in simhash._confirm_shards(batches):
+            links += zip(made.column("a").to_pylist(), made.column("b").to_pylist())
+    got = np.arange(len(sets))
+    for _ in sets:
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+    assert 1 < len(set(want.tolist())) < len(sets) and (got == want).all()
