@@ -3,11 +3,12 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import labels as lb, tracking
 from tagweave.plans import providers, recognition
-from tagweave.queries import oracle_sql, queries
+from tagweave.queries import oracle_sql, queries, streams
 from tagweave.queries.inputs import load
 from tagweave.schema import RECORD_COLUMNS
 from tagweave.sources import readers, writers
@@ -115,6 +116,32 @@ def test_stream_of_tracks_equals_batch(spark):
     assert len(live) == len(batch) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+SIGHTING = ("seq bigint, video_id bigint, frame_order bigint, track_id bigint, score double, x_min double, y_min double, "
+            "x_max double, y_max double, is_late boolean")
+
+
+def sighting(seq, video, frame, track):
+    x = track * 10_000.0
+    return (seq, video, frame, track, 0.9, x, 0.0, x + 10, 10.0, False)
+
+
+def test_eviction_on_both_sides_of_the_limit(spark):
+    rows = spark.createDataFrame([sighting(0, 1, 0, 7), sighting(2, 1, 100, 8), sighting(4, 1, 101, 7),
+                                  sighting(1, 2, 0, 7), sighting(3, 2, 101, 8), sighting(5, 2, 102, 7)], SIGHTING)
+    for after, forgotten in ((100, True), (None, False)):
+        live = spark.read.parquet(runs.replay(rows, "seq", lambda s: stateful.stream_tracks(s, forget_after=after), slices=3))
+        number = {r.seq: r.track_no for r in live.collect()}
+        assert number[4] == number[0] and (number[5] != number[1]) == forgotten
+
+
+@pytest.mark.parametrize("name", ["r1_tracks_by_id", "r5_late_reads"])
+def test_queries_by_id_keep_every_id(spark, monkeypatch, name):
+    rows = spark.createDataFrame([sighting(0, 1, 0, 7), sighting(1, 1, 50, 8), sighting(2, 1, 150_000, 8),
+                                  sighting(3, 1, 150_001, 7)], SIGHTING)
+    monkeypatch.setattr(streams, "far_observations", lambda spark, sf: rows)
+    assert {r.seq: r.first_seq for r in queries()[name](spark, "").collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 def test_modes():
     assert recognition.Mode.named("cpu_safe") == recognition.Mode(replies=False, text=True)
     assert recognition.Mode.named("full", False) == recognition.Mode(replies=True, text=False)
