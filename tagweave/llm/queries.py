@@ -110,6 +110,19 @@ SQL["op9_preference_pairs"] = """
     FROM placed"""
 
 
+@query
+def op9_preference_pairs_of_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As before, but every conversation with an assistant turn is a pair, also before a gap in the ids."""
+    chosen, rejected = preferences.other_endings(table(spark, folder, "conversations"), every=True)
+    return preferences.segments(chosen, rejected)
+
+
+SQL["op9_preference_pairs_of_all"] = SQL["op9_preference_pairs"].replace(
+    "FROM ends a JOIN ends b ON b.pair_id = a.pair_id + 1)",
+    """FROM (SELECT *, lead(pair_id, 1, first) OVER (ORDER BY pair_id) AS next FROM
+                    (SELECT *, min(pair_id) OVER () AS first FROM ends)) a JOIN ends b ON b.pair_id = a.next)""")
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression_quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))

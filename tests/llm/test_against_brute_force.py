@@ -310,3 +310,16 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in third}
     run = corpus_pipeline.run(spark, MIDDLE).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     assert sorted(run) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
+
+
+def test_every_conversation_with_an_answer_is_a_pair(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (3, 0, "assistant", "d"),
+            (9, 0, "assistant", "e"), (9, 1, "assistant", "f"), (20, 0, "user", "g"), (20, 1, "assistant", None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    chosen, rejected = preferences.other_endings(turns, every=True)
+    assert {r.pair_id for r in preferences.other_endings(turns)[0].collect()} == set()
+    assert sorted((r.pair_id, r.turn, r.text or "") for r in chosen.collect()) == sorted(
+        (i, t, x or "") for i, t, _r, x in rows if i != 2)
+    last = {r.pair_id: r.text for r in sorted(rejected.collect(), key=lambda r: r.turn)}
+    assert last == {1: "d", 3: "f", 9: "", 20: "b"}
+    assert preferences.other_endings(turns.limit(0), every=True)[1].collect() == []
