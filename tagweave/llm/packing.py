@@ -2,9 +2,10 @@
 
 Which documents meet in a sequence depends on lengths alone, so the plan is made from the histogram of piece lengths
 (one row per length at most, ``CAPACITY`` in all), whatever the number of documents. It is made by bin completion:
-around the largest length left, fillings of the rest of the sequence that no other filling dominates are enumerated,
-least waste first; a filling is applied as often as its lengths last; branches whose waste cannot beat the incumbent
-are pruned. The best-fit decreasing solution is the first incumbent, and the search ends at the lower bound or after
+around the largest length left, fillings of the rest of the sequence are tried, least waste first; a filling is applied
+as often as its lengths last; branches whose waste cannot beat the incumbent are pruned. Not all undominated fillings
+are enumerated: only the best single length and the best pairs, a pair extended by the largest lengths that still fit,
+and of those ``CHILDREN`` a node; the best fillings of three or more small lengths can be missed. The best-fit decreasing solution is the first incumbent, and the search ends at the lower bound or after
 ``NODES`` nodes with the best solution so far. Each application uses up a length, so a plan has few patterns.
 
 Pieces are then numbered within their length (in buckets, so that a length that holds a third of all pieces is many
