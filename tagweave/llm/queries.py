@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import (bm25, compression_quality, kmeans_tree, packing, preferences, sentencepieces, simhash,
+from tagweave.llm import (bm25, compression_quality, decontamination, kmeans_tree, packing, preferences, sentencepieces, simhash,
                           toxicity, url_rules, wordpiece_counts)
 from tagweave.llm.common import table
 
@@ -128,6 +128,34 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression_quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: Words, then the 10 words from each word on, of items (all words of shorter items) and of documents.
+SQL["op11_decontamination"] = """
+    WITH words AS (SELECT *, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+                   FROM (SELECT 0 AS side, doc_id AS id, text FROM documents
+                         UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+    docs AS (SELECT row_number() OVER () AS doc, id, w FROM words WHERE side = 0),
+    windows AS (SELECT DISTINCT id AS item_id, n, array_to_string(w[p:p + n - 1], ' ') AS passage
+                FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+                      FROM (SELECT id, w, least(len(w), 10) AS n FROM words WHERE side = 1 AND len(w) > 0))),
+    places AS (SELECT doc, n, p, array_to_string(w[p:p + n - 1], ' ') AS passage
+               FROM (SELECT doc, w, n, unnest(range(1, len(w) - n + 2)) AS p
+                     FROM docs, (SELECT DISTINCT n FROM windows))),
+    hits AS (SELECT doc, n, p, item_id FROM places JOIN windows USING (n, passage)),
+    counts AS (SELECT doc, count(DISTINCT word) AS n_hit
+               FROM (SELECT DISTINCT doc, unnest(range(p, p + n)) AS word FROM hits) GROUP BY doc),
+    found AS (SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+              FROM (SELECT DISTINCT doc, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc)
+    SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN counts USING (doc) LEFT JOIN found USING (doc)"""
+
+
 def byte_bpe() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"),
             "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
