@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import (bm25, compression_quality, decontamination, kmeans_tree, packing, preferences, sentencepieces, simhash,
+from tagweave.llm import (alignment, bm25, compression_quality, decontamination, kmeans_tree, packing, preferences, sentencepieces, simhash,
                           toxicity, url_rules, wordpiece_counts)
 from tagweave.llm.common import table
 
@@ -156,6 +156,12 @@ SQL["op11_decontamination"] = """
     FROM docs LEFT JOIN counts USING (doc) LEFT JOIN found USING (doc)"""
 
 
+@query
+def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.counted(table(spark, folder, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"),
+                             **byte_bpe())
+
+
 def byte_bpe() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"),
             "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
