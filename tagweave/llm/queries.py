@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagweave.llm import (alignment, bm25, compression_quality, decontamination, kmeans_tree, packing, preferences, sentencepieces, simhash,
-                          toxicity, url_rules, wordpiece_counts)
+from tagweave.llm import (alignment, bm25, compression_quality, decontamination, kmeans_tree, packing, preferences,
+                          sentencepieces, simhash, toxicity, url_rules, va_clustering, wordpiece_counts)
 from tagweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,38 @@ SQL["op11_decontamination"] = """
     FROM docs LEFT JOIN counts USING (doc) LEFT JOIN found USING (doc)"""
 
 
+@query
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return va_clustering.judged(table(spark, folder, "embeddings"))
+
+
+def _assigned(n: int) -> str:
+    """Vectors with the nearest of the centroids c<n>."""
+    return f"""a{n} AS MATERIALIZED (SELECT id, vec_id, v, arg_min(k, d * 8 + k) AS k, CAST(min(d) AS BIGINT) AS d FROM (
+        SELECT id, vec_id, kept.v AS v, k, list_sum(list_transform(range(1, 65), lambda i:
+               (kept.v[i] - c{n}.v[i]) * (kept.v[i] - c{n}.v[i]))) AS d FROM kept, c{n})
+        GROUP BY id, vec_id, v)"""
+
+
+def _means(n: int) -> str:
+    """The centroids c<n> from those before and their vectors; those without vectors stay."""
+    return f"""c{n} AS MATERIALIZED (SELECT k, coalesce(m, v) AS v FROM c{n - 1} LEFT JOIN (
+        SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM (
+            SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{n - 1}, range(1, 65) AS places(i) GROUP BY k, i)
+        GROUP BY k) USING (k))"""
+
+
+SQL["op12_centroid_clusters"] = f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x:
+            CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v FROM kept
+        QUALIFY k < 8), {_assigned(0)}, {', '.join(f'{_means(n)}, {_assigned(n)}' for n in range(1, 11))}
+    SELECT vec_id, CAST(k AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+    FROM a10 JOIN c10 USING (k)"""
+
+
 @query
 def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.counted(table(spark, folder, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"),
