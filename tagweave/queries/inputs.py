@@ -117,7 +117,8 @@ INPUTS = {
                CASE WHEN event_id % 5 = 0 THEN CAST(user_id + 3 AS STRING) || ',1' ELSE 'нет' END AS wholesale_level_1_price,
                CASE WHEN event_id % 7 = 0 THEN '12' ELSE '' END AS wholesale_level_2_count, 'нет' AS wholesale_level_2_price,
                CASE WHEN event_id % 6 = 0 THEN '9999999,5' ELSE 'нет' END AS action_price_qr,
-               CASE WHEN event_id % 3 = 0 THEN 'A ' || CAST(user_id % 7 AS STRING) ELSE '' END AS action_code_qr
+               CASE WHEN event_id % 3 = 0 THEN 'A ' || CAST(user_id % 7 AS STRING) ELSE '' END AS action_code_qr,
+               CAST(ts AS TIMESTAMP) AS seen_at
         FROM {events}""",
     # Labelled records, wide, with raw texts as people type them.
     "raw_records": """

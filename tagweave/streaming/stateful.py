@@ -1,4 +1,4 @@
-"""Keyed state for live video: tracks, fingerprint gate, crop banks and rail cache.
+"""Keyed state for live video: fingerprint gate, crop banks and rail cache. Tracks are in ``tracks``.
 
 Every function takes a streaming DataFrame and returns one. State is per video, or per video and
 track, and holds only what later rows can still need. Rows of one micro-batch are put in frame
@@ -17,11 +17,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tagweave.operators.tracking import (
-    FOLD_COLUMNS, LINK_COLUMNS, Tag, TrackBook, TrackRules, link_values,
-)
-from tagweave.schema import BOX_COLUMNS
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -29,61 +24,6 @@ def _in_order(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values(by, kind="stable")
 
 
-# ---- tracks -------------------------------------------------------------------------------
-
-BOOK_STATE = ("tags bigint, number array<bigint>, track_id array<bigint>, last_frame array<bigint>, score array<double>, "
-              "box array<array<double>>, texts array<array<string>>")
-TEXTS = [*LINK_COLUMNS, "name_raw"]
-
-
-def _dump_book(book: TrackBook) -> tuple:
-    """The state as columns, one entry per tag that later rows can still meet."""
-    tags = sorted(book.tags.values(), key=lambda k: k.number)
-    return (book.count, [k.number for k in tags], [k.track_id for k in tags], [k.last_frame for k in tags],
-            [k.score for k in tags], [list(k.box) for k in tags], [[k.texts[c] for c in TEXTS] for k in tags])
-
-
-def _load_book(state: tuple, rules: TrackRules) -> TrackBook:
-    count, *columns = state
-    return TrackBook(rules, [Tag(n, i, f, s, tuple(b), dict(zip(TEXTS, v))) for n, i, f, s, b, v in zip(*columns)], count)
-
-
-def stream_tracks(observations: DataFrame, video: str = "video_id", seq: str = "seq",
-                  frame: str = "frame_order", rules: TrackRules = TrackRules(),
-                  forget_after: int | None = 100_000, late: str | None = None) -> DataFrame:
-    """Track number per observation, as rows arrive.
-
-    Anonymous tracks leave the state once out of reach, tracks with an id after ``forget_after``
-    frames without a sighting (about an hour of video; None keeps them for good). ``late`` marks
-    rows that are read later than their frame, such as flushed crop banks: in each batch they come
-    after the others and meet every track still in the state.
-    """
-    rows = link_values(observations).select(
-        F.col(video).cast("bigint").alias("video_id"), F.col(seq).cast("bigint").alias("seq"),
-        F.col(frame).cast("bigint").alias("frame_order"), F.col("track_id").cast("bigint"), "score",
-        *[F.col(c).cast("double").alias(c) for c in BOX_COLUMNS],
-        *[F.col(f"_{c}").alias(c) for c in LINK_COLUMNS], F.col("_name_raw").alias("name_raw"),
-        (F.lit(False) if late is None else F.col(late)).alias("_late"))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book = _load_book(state.get, rules) if state.exists else TrackBook(rules)
-        batch = _in_order(parts, ["_late", "frame_order", "seq"])
-        numbers = []
-        for is_late, row in zip(batch["_late"].tolist(), zip(*[batch[c].tolist() for c in FOLD_COLUMNS])):
-            if not is_late:
-                book.forget(int(row[0]))
-            numbers.append(book.assign(row))
-        on_time = batch.loc[~batch["_late"], "frame_order"]
-        if len(on_time):
-            book.forget(int(on_time.max()), forget_after)
-        state.update(_dump_book(book))
-        yield pd.DataFrame({"video_id": batch["video_id"], "seq": batch["seq"], "track_no": numbers})
-
-    return rows.groupBy("video_id").applyInPandasWithState(
-        step, "video_id bigint, seq bigint, track_no bigint", BOOK_STATE, "append",
-        GroupStateTimeout.NoTimeout)
-
-
 # ---- fingerprint gate -----------------------------------------------------------------------
 
 def stream_gate(crops: DataFrame, keys: list[str], order: str, bits: str, score: str,

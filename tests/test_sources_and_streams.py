@@ -12,7 +12,7 @@ from tagweave.queries import oracle_sql, queries, streams
 from tagweave.queries.inputs import load
 from tagweave.schema import RECORD_COLUMNS
 from tagweave.sources import readers, writers
-from tagweave.streaming import runs, stateful
+from tagweave.streaming import runs, stateful, tracks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -110,7 +110,7 @@ def test_user_reader_isolates_faults(spark):
 
 def test_stream_of_tracks_equals_batch(spark):
     ob = load(spark, SMALL, "observations").withColumn("track_id", F.when(F.col("seq") % 3 == 0, F.col("track_no") % 20)).drop("track_no")
-    live = spark.read.parquet(runs.replay(ob, "seq", stateful.stream_tracks, slices=3)).collect()
+    live = spark.read.parquet(runs.replay(ob, "seq", tracks.stream_tracks, slices=3)).collect()
     batch = {r.seq: (r.video_id, r.part, r.track_no) for r in tracking.assign_tracks(ob, "video_id", "seq").collect()}
     pairs = {((r.video_id, r.track_no), batch[r.seq]) for r in live}
     assert len(live) == len(batch) and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
@@ -125,13 +125,88 @@ def sighting(seq, video, frame, track):
     return (seq, video, frame, track, 0.9, x, 0.0, x + 10, 10.0, False)
 
 
+def state_of(spark, folder, name, operator=0):
+    """Rows of one kind of state after the last batch of a replay that wrote to ``folder``."""
+    reader = spark.read.format("statestore").option("path", f"{os.path.dirname(folder)}/state")
+    return reader.option("operatorId", operator).option("stateVarName", name).load().collect()
+
+
+def timed(rows):
+    return rows.withColumn("seen_at", F.timestamp_seconds(F.col("frame_order") * 10 + 1_000_000))
+
+
 def test_eviction_on_both_sides_of_the_limit(spark):
-    rows = spark.createDataFrame([sighting(0, 1, 0, 7), sighting(2, 1, 100, 8), sighting(4, 1, 101, 7),
-                                  sighting(1, 2, 0, 7), sighting(3, 2, 101, 8), sighting(5, 2, 102, 7)], SIGHTING)
-    for after, forgotten in ((100, True), (None, False)):
-        live = spark.read.parquet(runs.replay(rows, "seq", lambda s: stateful.stream_tracks(s, forget_after=after), slices=3))
-        number = {r.seq: r.track_no for r in live.collect()}
-        assert number[4] == number[0] and (number[5] != number[1]) == forgotten
+    rows = timed(spark.createDataFrame([
+        sighting(0, 1, 0, 7), sighting(1, 2, 1, 7), sighting(2, 1, 100, 7), sighting(3, 2, 102, 7), sighting(4, 3, 150, 9),
+        sighting(5, 3, 400, 9), sighting(6, 3, 401, 9)], SIGHTING))
+    for after, forgotten in ((1000.0, True), (None, False)):
+        folder = runs.replay(rows, "seq", lambda s: tracks.stream_tracks(s, time="seen_at", forget_after=after), slices=3)
+        number = {r.seq: r.track_no for r in spark.read.parquet(folder).collect()}
+        assert number[2] == number[0] and (number[3] != number[1]) == forgotten and (number[5] != number[4]) == forgotten
+        # No row of videos 1 and 2 came after their limits, yet timers took their tags and ids away.
+        for kind in ("near", "far", "ids", "due"):
+            assert {r.key.video_id for r in state_of(spark, folder, kind)} <= ({3} if forgotten else {1, 2, 3})
+        assert {r.key.video_id for r in state_of(spark, folder, "ids")} == ({3} if forgotten else {1, 2, 3})
+    with pytest.raises(ValueError):
+        tracks.stream_tracks(rows, forget_after=1.0)
+
+
+def test_state_written_follows_the_rows_of_a_batch(spark):
+    """500 tags are known; a batch of three rows writes few entries."""
+    rows = spark.createDataFrame([sighting(i, 1, i * 10, i) for i in range(500)] + [
+        sighting(500, 1, 5000, 3), sighting(501, 1, 5001, 9), sighting(502, 1, 5002, 7000)], SIGHTING)
+    written = []
+
+    def run(stream, folder):
+        runs.keyed_state(spark)
+        done = (stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+                .trigger(availableNow=True).start())
+        done.awaitTermination()
+        written.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in done.recentProgress))
+
+    folder = runs.replay(rows.withColumn("slice", F.when(F.col("seq") < 500, 0).otherwise(1)), "slice", tracks.stream_tracks, run, 2)
+    number = {r.seq: r.track_no for r in spark.read.parquet(folder).collect()}
+    assert number[500] == number[3] and number[501] == number[9] and number[502] == 501
+    assert written[0] >= 500 and written[1] <= 10
+
+
+def test_late_reads_meet_the_tags_of_their_video(spark):
+    """Chained bank and tracker against the batch walk with late rows, on tags linked by id, evidence and place."""
+    ob = load(spark, SMALL, "observations").filter("seq < 600").withColumn(
+        "track_id", F.when(F.col("seq") % 3 == 0, F.col("track_no") % 20)).drop("track_no", "seen_at")
+    ob = ob.withColumn("seen_at", F.timestamp_seconds(F.col("frame_order") + 1_000_000))
+    last = ob.limit(1).withColumns({"seq": F.lit(9999).cast("bigint"), "video_id": F.lit(99).cast("bigint"),
+                                    "frame_order": F.lit(9999).cast("bigint"), "seen_at": F.timestamp_seconds(F.lit(1_009_999))})
+    folder = runs.replay(ob.unionByName(last).repartition(3), "seq", lambda s: tracks.stream_tracks_with_late_reads(s, "seen_at", 2000.0), slices=3)
+    live = {(r.seq, r.late_no): (r.video_id, r.track_no) for r in spark.read.parquet(folder).collect() if r.video_id != 99}
+    banks = {}
+    for r in sorted(ob.collect(), key=lambda r: (-r.score, r.seq)):
+        banks.setdefault((r.video_id, "" if r.track_id is None else str(r.track_id)), []).append(r.seq)
+    reads = {}
+    for (video, _track), seqs in sorted(banks.items()):
+        for seq in seqs[:5]:
+            reads[seq] = sum(k[0] == video for k in reads.values()) + 1, video
+            reads[seq] = (video, reads[seq][0])
+    assert {k for k in live if k[1]} == {(seq, no) for seq, (_v, no) in reads.items()}
+    order = spark.createDataFrame([(seq, 100_000 + no) for seq, (_v, no) in reads.items()], "seq bigint, late_seq bigint")
+    late = ob.join(order, "seq").withColumn("seq", F.col("late_seq")).drop("late_seq").withColumn("is_late", F.lit(True))
+    both = ob.withColumn("is_late", F.lit(False)).unionByName(late)
+    batch = {(r.video_id, r.seq): (r.part, r.track_no) for r in tracking.assign_tracks(both, "video_id", "seq", late="is_late").collect()}
+    assert len(live) == len(batch)
+    pairs = {(tag, (tag[0], *batch[tag[0], seq if not no else 100_000 + no])) for (seq, no), tag in live.items()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    # The recordings have ended: nothing of their tags is left but how many there were.
+    for kind in ("near", "far", "ids"):
+        assert {r.key.video_id for r in state_of(spark, folder, kind, 0)} <= {99}
+
+
+def test_a_video_that_goes_on_after_its_end(spark):
+    rows = timed(spark.createDataFrame([
+        sighting(0, 1, 0, 7), sighting(1, 1, 1, 7), sighting(2, 1, 300, 7), sighting(3, 1, 301, 8), sighting(4, 2, 900, 7)], SIGHTING))
+    for slices in (1, 5):
+        folder = runs.replay(rows, "seq", lambda s: tracks.stream_tracks_with_late_reads(s, "seen_at", 1000.0, reads=1), slices=slices)
+        got = sorted((r.video_id, r.seq, r.late_no, r.track_no) for r in spark.read.parquet(folder).collect())
+        assert got == [(1, 0, 0, 1), (1, 0, 1, 1), (1, 1, 0, 1), (1, 2, 0, 2), (1, 2, 1, 2), (1, 3, 0, 3), (1, 3, 2, 3), (2, 4, 0, 1)]
 
 
 @pytest.mark.parametrize("name", ["r1_tracks_by_id", "r5_late_reads"])
