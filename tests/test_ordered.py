@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import fingerprints, ordering, spatial, timejoin, tracking
+from tagweave.operators import components, fingerprints, ordering, spatial, timejoin, tracking
 from tagweave.schema import BOX_COLUMNS
 
 BOX = "x_min double, y_min double, x_max double, y_max double"
@@ -202,8 +202,60 @@ def test_many_ids_take_linear_time():
         book.forget(i)
         book.assign((i, i, 1.0, i % 7 * 400.0, 0.0, i % 7 * 400.0 + 40, 30.0, *[""] * 7))
     assert book.count == 30_000 and len(book.listed) < 100  # what is out of reach has left the index
-    book.forget(30_000, after=100)
-    assert len(book.tags) <= 101
+
+
+def apart(spark, seed):
+    """One unbroken video: clusters of sightings far from each other, some with ids or codes that join clusters late."""
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(400):
+        cluster = rng.randrange(9)
+        x, y = cluster * 3000 + rng.uniform(0, 500), rng.uniform(0, 400)
+        code = rng.choice(["", "", "", "", f"46{cluster:06}", "46900000"]) if cluster < 7 else ""
+        name = rng.choice(["", "", f"n{cluster}", "n7"])
+        track = rng.choice([None, None, None, cluster * 10 + rng.randrange(3)]) if seq % 50 else 99
+        rows.append((1, seq, seq // 3 + (40 if seq > 200 and cluster == 8 else 0), track, rng.random(), x, y, x + 40, y + 30, code, name,
+                     rng.choice(["10", "11", ""]), seq % 11 == 0))
+    rows += [(2, 1000 + i, i, None, 0.5, 0.0, None if i % 2 else 0.0, 9.0, 9.0, "", "", "", False) for i in range(4)]
+    rows += [(3, 2000 + i, i, None, 0.5, 0.0, 0.0, 9e4 if i == 2 else 9.0, 9e4 if i == 2 else 9.0, "", "", "", False) for i in range(4)]
+    return spark.createDataFrame(rows, "video_id int, seq bigint, frame_order bigint, track_id bigint, score double, x_min double, y_min double, "
+                                       "x_max double, y_max double, barcode string, product_name string, price_card string, is_late boolean")
+
+
+def test_split_walk_gives_the_same_numbers(spark):
+    for rows in (scene_rows(spark), apart(spark, 1)):
+        whole, split = ({(r.video_id, r.seq): (r.part, r.track_no) for r in tracking.assign_tracks(
+            rows, "video_id", "seq", late="is_late", large=n).collect()} for n in (10**9, 0))
+        assert len(whole) == rows.count() and split == whole
+
+
+def test_an_unbroken_video_is_many_groups(spark):
+    rows = spark.createDataFrame([(1, i, i, i % 50, 0.9, i % 50 * 10_000.0, 0.0, i % 50 * 10_000.0 + 10, 10.0) for i in range(1000)],
+                                 "video_id int, seq bigint, frame_order bigint, track_id bigint, score double, x_min double, y_min double, "
+                                 "x_max double, y_max double")
+    fold = tracking.link_values(rows).withColumn("part", F.lit(0)).select("part", *tracking._fold_columns(
+        tracking.link_values(rows).withColumn("part", F.lit(0)), "video_id", "frame_order", "seq"))
+    groups = tracking.meeting_groups(fold, tracking.TrackRules())
+    assert groups.count() == 1000 and groups.select("group").distinct().count() == 50
+
+
+@pytest.mark.parametrize("few", [components.FEW, 0])
+def test_components(spark, few):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(100)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(120)] + [(5000, 5000)]
+    links += [(7000, 7001 + i) for i in range(50)]
+    root = {}
+
+    def top(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(links, "a bigint, b bigint"), few).collect()}
+    assert got == {n: top(n) for n in root}
 
 
 def test_two_level_orders(spark):
