@@ -92,27 +92,21 @@ def assembled(rows: DataFrame) -> DataFrame:
         text("rejected").alias("rejected"), spans("rejected").alias("rejected_spans"))
 
 
-def other_endings(turns: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def other_endings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs made from plain conversations: each against itself with the last assistant turn of the next one by id.
 
-    A conversation is a pair if it and the one with the following ``conv_id`` have an assistant turn; it is the chosen
-    side. The rejected side has its last assistant turn's text taken from the other's. With ``every``, the next one is
-    the next that has an assistant turn, whatever its id, and the first for the last: each that has one is a pair.
+    Each conversation with an assistant turn is a pair; the next one is the next that has such a turn, and the first for the
+    last. It is the chosen side; the rejected side has its last assistant turn's text taken from the other's.
     """
     rows = turns.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     last = (rows.filter(F.col("role") == "assistant").groupBy("pair_id")
             .agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last")))
-    if every:
-        last = rank_by_range(last, [], ["pair_id"], "place")
-        before = F.col("place") - 1
-        others = last.agg(F.max("place").alias("end")).join(last).select(
-            F.when(before == 0, F.col("end")).otherwise(before).alias("place"), F.col("last.text").alias("other"))
-        ends = (last.select("pair_id", "place", F.col("last.turn").alias("last_turn")).join(others, "place")
-                .drop("place"))
-    else:
-        ends = (last.select("pair_id", F.col("last.turn").alias("last_turn")).join(
-            last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last.text").alias("other")), "pair_id"))
+    last = rank_by_range(last, [], ["pair_id"], "place")
+    before = F.col("place") - 1
+    others = last.select(F.when(before == 0, F.lit(last.agg(F.max("place")).first()[0])).otherwise(before).alias("place"),
+                         F.col("last.text").alias("other"))
+    ends = last.select("pair_id", "place", F.col("last.turn").alias("last_turn")).join(others, "place").drop("place")
     paired = rows.join(ends, "pair_id")
     replaced = (F.col("turn") == F.col("last_turn")) & (F.col("role") == "assistant")
     return (paired.select("pair_id", "turn", "role", "text"),

@@ -90,7 +90,8 @@ SQL["op9_preference_pairs"] = """
                    FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
     ends AS (SELECT pair_id, max((turn, text)) AS last FROM turns WHERE role = 'assistant' GROUP BY pair_id),
     pairs AS (SELECT a.pair_id, a.last[1] AS last_turn, b.last[2] AS other
-              FROM ends a JOIN ends b ON b.pair_id = a.pair_id + 1),
+              FROM (SELECT *, lead(pair_id, 1, first) OVER (ORDER BY pair_id) AS next FROM
+                    (SELECT *, min(pair_id) OVER () AS first FROM ends)) a JOIN ends b ON b.pair_id = a.next),
     sides AS (SELECT *, row_number() OVER (PARTITION BY side, pair_id, turn ORDER BY role, text) AS place FROM (
               SELECT DISTINCT side, pair_id, turn, role,
                      CASE WHEN side = 1 AND turn = last_turn AND role = 'assistant' THEN other ELSE text END AS text
@@ -110,19 +111,6 @@ SQL["op9_preference_pairs"] = """
     FROM placed"""
 
 
-@query
-def op9_preference_pairs_of_all(spark: SparkSession, folder: str) -> DataFrame:
-    """As before, but every conversation with an assistant turn is a pair, also before a gap in the ids."""
-    chosen, rejected = preferences.other_endings(table(spark, folder, "conversations"), every=True)
-    return preferences.segments(chosen, rejected)
-
-
-SQL["op9_preference_pairs_of_all"] = SQL["op9_preference_pairs"].replace(
-    "FROM ends a JOIN ends b ON b.pair_id = a.pair_id + 1)",
-    """FROM (SELECT *, lead(pair_id, 1, first) OVER (ORDER BY pair_id) AS next FROM
-                    (SELECT *, min(pair_id) OVER () AS first FROM ends)) a JOIN ends b ON b.pair_id = a.next)""")
-
-
 @query
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression_quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -237,6 +237,21 @@ def test_exact_search(spark, docs, monkeypatch, shard, words, step):
     assert bm25.search(rows.limit(0), F.col("doc_id") % 50 == 0).collect() == []
 
 
+def test_search_finds_every_text_of_an_id(spark):
+    said = [(1, "alpha beta gamma delta zeta"), (1, "omega"), (1, "omega"), (1, "omega psi " * 20_000), (2, "omega alpha"), (3, "beta"),
+            (50, "alpha beta"), (50, "psi"), (4, "psi"), (5, None), (6, "")]
+    rows = spark.createDataFrame([(i, t, 7, "s", 8) for i, t in said], "doc_id bigint, text string, size int, slice string, k int")
+    for k in (1, 2, 3, 10):
+        got = [(r.rank, r.doc_id, r.score) for r in bm25.search(rows, F.col("doc_id") % 50 == 0, k).orderBy("rank").collect()]
+        every = brute_bm25({n: t for n, (_i, t) in enumerate(dict.fromkeys(said))}, [5, 6], 100)
+        ids, best = [i for i, _t in dict.fromkeys(said)], {}
+        for score, n in every[5] + every[6]:
+            best[ids[n]] = min(best.get(ids[n], 0), score)
+        want = heapq.nsmallest(k, ((s, i) for i, s in best.items()))
+        assert [(-round(s, 6), i) for _r, i, s in got] == want
+        assert {1, 50} <= {i for _r, i, _s in got} or k < 3
+
+
 URLS = [None, "", "no scheme/en/", "http://Example.COM/en/a", "https://www.example.com/en/", "http://a.www.example.com/en/x?y#z",
         "ftp://example.net/es/q", "http://net/fr/", "http://xnet/fr/", "http://example.com?x=/en/", "http://example.com",
         "http://a.com/x://b.net/es/", "http:///en/", "http://é.Ünet/es/", "http://.com/", "http://" + "a." * 5000 + "com/" + "p" * 9000]
@@ -336,10 +351,9 @@ def test_every_conversation_with_an_answer_is_a_pair(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (3, 0, "assistant", "d"),
             (9, 0, "assistant", "e"), (9, 1, "assistant", "f"), (20, 0, "user", "g"), (20, 1, "assistant", None)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
-    chosen, rejected = preferences.other_endings(turns, every=True)
-    assert {r.pair_id for r in preferences.other_endings(turns)[0].collect()} == set()
+    chosen, rejected = preferences.other_endings(turns)
     assert sorted((r.pair_id, r.turn, r.text or "") for r in chosen.collect()) == sorted(
         (i, t, x or "") for i, t, _r, x in rows if i != 2)
     last = {r.pair_id: r.text for r in sorted(rejected.collect(), key=lambda r: r.turn)}
     assert last == {1: "d", 3: "f", 9: "", 20: "b"}
-    assert preferences.other_endings(turns.limit(0), every=True)[1].collect() == []
+    assert preferences.other_endings(turns.limit(0))[1].collect() == []
