@@ -10,17 +10,27 @@ equi-joins on those cells. A box without area, or with a missing corner, overlap
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagweave.functions.geometry import (
     Box, clip, iou, normalized_line, ordered, tiles, usable,
 )
+from tagweave.operators.components import connected
 from tagweave.operators.ordering import rank_by_range
 from tagweave.schema import BOX_COLUMNS
 from tagweave.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SMALL_GROUP = 2048
+#: Connected boxes that one task walks.
+LONG_WALK = 200_000
 #: Side of the largest boxes that small thresholds are exact for.
 WIDEST = 1e7
 
@@ -55,8 +65,9 @@ def suppress_overlaps(df: DataFrame, keys: list[str], order: list[Column], thres
     """Greedy suppression per key: walk rows in order, drop a row that overlaps a kept one.
 
     ``order`` must be total within a key. ``cap`` keeps only the first rows of the result and may
-    be an aggregate over the group. Ordinary groups are folded as arrays; a group with more than
-    ``small_group`` rows is resolved by parallel rounds over grid cells with the same result.
+    be an aggregate over the group. Ordinary groups are folded as arrays. A group with more than
+    ``small_group`` rows is cut into components of boxes connected by grid cells, and each component is walked by itself;
+    one of more than ``LONG_WALK`` boxes is resolved by parallel rounds over grid cells. The result is the same.
     """
     order = [c.alias(f"k{i}") for i, c in enumerate(order)]
     hot = oversized_groups(df, keys, small_group)
@@ -66,7 +77,7 @@ def suppress_overlaps(df: DataFrame, keys: list[str], order: list[Column], thres
     calm = df.join(hot, keys, "left_anti")
     busy = df.join(hot, keys, "left_semi")
     return _suppress_in_arrays(calm, keys, order, threshold, cap, rank).unionByName(
-        _suppress_in_rounds(busy, keys, order, threshold, cap, rank))
+        _suppress_by_components(busy, keys, order, threshold, cap, rank))
 
 
 def _cap_column(cap: Column | int) -> Column:
@@ -95,11 +106,8 @@ def _suppress_in_arrays(df, keys, order, threshold, cap, rank) -> DataFrame:
             .select("_row.*", (F.col("_pos") + 1).cast("bigint").alias(rank)))
 
 
-def _suppress_in_rounds(df, keys, order, threshold, cap, rank) -> DataFrame:
-    """Rounds: a box first in all its cells is kept, boxes it overlaps leave, repeat.
-
-    The first of all open boxes always leads, so every round settles at least one box.
-    """
+def _suppress_by_components(df, keys, order, threshold, cap, rank, long_walk: int | None = None) -> DataFrame:
+    """Boxes that share no cell, nor are linked by others that do, decide nothing for each other."""
     box = Box.of()
     by_box = [*keys, *BOX_COLUMNS]
     solid = F.coalesce(box.area > 0, F.lit(False))
@@ -108,9 +116,65 @@ def _suppress_in_rounds(df, keys, order, threshold, cap, rank) -> DataFrame:
     # Of equal boxes only the first can be kept, so copies collapse before anything else.
     rows = (df.filter(solid).groupBy(*by_box)
             .agg(F.min(F.struct(F.struct(*order).alias("o"), F.struct("*").alias("row"))).alias("m"))
-            .select(*by_box, F.col("m.o").alias("_o"), F.col("m.row").alias("_row")))
-    open_rows = cut_lineage(rows.withColumn("_cells", grid_cells(box, threshold)))
-    kept = flat
+            .select(*by_box, F.col("m.o").alias("_o"), F.col("m.row").alias("_row"), F.xxhash64(*by_box).alias("_node")))
+    rows = cut_lineage(rows.withColumn("_cells", grid_cells(box, threshold)))
+    # A hash that two boxes or cells share makes a component larger, which changes nothing.
+    links = rows.select(F.col("_node").alias("a"), *keys, F.explode("_cells").alias("_cell")).select(
+        "a", F.xxhash64(*keys, "_cell").alias("b"))
+    found = connected(links).select(F.col("node").alias("_node"), F.col("root").alias("_group"))
+    rows = cut_lineage(rows.join(found, "_node").drop("_node"))
+    inside = [*keys, "_group"]
+    large = cut_lineage(oversized_groups(rows, inside, LONG_WALK if long_walk is None else long_walk))
+    kept = flat.unionByName(_walked(rows.join(large, inside, "left_anti"), inside, threshold).select(*keys, "_o", "_row"))
+    if not large.isEmpty():
+        kept = kept.unionByName(_in_rounds(rows.join(large, inside, "left_semi"), inside, threshold).select(*keys, "_o", "_row"))
+    ranked = rank_by_range(kept, keys, [F.col("_o")], "_rank")
+    if cap is not None:
+        caps = df.groupBy(*keys).agg(_cap_column(cap).alias("_cap"))
+        ranked = ranked.join(caps, keys).filter(F.col("_rank") <= F.col("_cap"))
+    return ranked.select("_row.*", F.col("_rank").alias(rank))
+
+
+def _walked(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Rows kept when each group is walked in order: sorted by Spark, streamed, and looked up by cell. A row is told by
+    its place in the sorted partition only on the way through Python, so any columns can ride along."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_o").withColumn("_no", F.monotonically_increasing_id())
+    ordered = cut_lineage(ordered)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept = None, {}
+        for batch in batches:
+            out = []
+            for number, name, cells, *corners in zip(*[batch[c].tolist() for c in ("number", "name", "cells", *BOX_COLUMNS)]):
+                if name != group:
+                    group, kept = name, {}
+                if not any(_above(corners, other, threshold) for c in cells for other in kept.get(c, ())):
+                    out.append(number)
+                    for c in cells:
+                        kept.setdefault(c, []).append(corners)
+            yield pd.DataFrame({"_no": np.array(out, np.int64)})
+
+    # No shuffle comes between the sorted partitions and the walk.
+    told = ordered.select(F.col("_no").alias("number"), F.to_json(F.struct(*keys)).alias("name"), F.col("_cells").alias("cells"),
+                          *[F.col(c).cast("double").alias(c) for c in BOX_COLUMNS])
+    return ordered.join(told.mapInPandas(walk, "_no bigint"), "_no", "left_semi")
+
+
+def _above(a: list[float], b: list[float], threshold: float) -> bool:
+    across, down = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if across <= 0 or down <= 0:
+        return threshold < 0
+    both = across * down
+    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) > threshold
+
+
+def _in_rounds(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Rounds: a box first in all its cells is kept, boxes it overlaps leave, repeat.
+
+    The first of all open boxes always leads, so every round settles at least one box.
+    """
+    box = Box.of()
+    open_rows, kept = cut_lineage(rows), None
     left = open_rows.count()
     while left:
         spread = open_rows.select(*keys, "_o", *BOX_COLUMNS, F.size("_cells").alias("_n"),
@@ -128,17 +192,13 @@ def _suppress_in_rounds(df, keys, order, threshold, cap, rank) -> DataFrame:
                 .filter((iou(box, Box.of("l_")) > threshold) | (F.col("_o") == F.col("_lead")))
                 .select(*keys, "_o").distinct())
         chosen = open_rows.join(leaders.select(*keys, "_o"), [*keys, "_o"], "left_semi")
-        chosen = cut_lineage(chosen.select(*keys, "_o", "_row"))
-        kept = kept.unionByName(chosen)
+        chosen = cut_lineage(chosen)
+        kept = chosen if kept is None else kept.unionByName(chosen)
         open_rows = cut_lineage(open_rows.join(gone, [*keys, "_o"], "left_anti"))
         before, left = left, open_rows.count()
         if left >= before:
             raise RuntimeError("suppression makes no progress; is the order total within the keys?")
-    ranked = rank_by_range(kept, keys, [F.col("_o")], "_rank")
-    if cap is not None:
-        caps = df.groupBy(*keys).agg(_cap_column(cap).alias("_cap"))
-        ranked = ranked.join(caps, keys).filter(F.col("_rank") <= F.col("_cap"))
-    return ranked.select("_row.*", F.col("_rank").alias(rank))
+    return rows if kept is None else kept
 
 
 def without_overlap(df: DataFrame, others: DataFrame, keys: list[str], threshold: float) -> DataFrame:

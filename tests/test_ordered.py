@@ -68,6 +68,25 @@ def test_matching(spark, small_group):
     assert {(r.g, r.t, r.p) for r in got} == want
 
 
+@pytest.mark.parametrize("long_walk", [spatial.LONG_WALK, 5])
+def test_suppression_of_components(spark, monkeypatch, long_walk):
+    monkeypatch.setattr(spatial, "LONG_WALK", long_walk)
+    test_suppression(spark, 0.42, None, 10)
+    test_suppression(spark, 0.75, 7, 10)
+
+
+def test_jobs_do_not_grow_with_a_chain(spark):
+    """Boxes in a row of falling confidence, each over half of the next: every second one stays."""
+    jobs = []
+    for n in (40, 2000):
+        df = spark.range(n).selectExpr("'g' AS g", "id AS i", "id * 5.0D AS x_min", "0.0D AS y_min", "id * 5.0D + 20 AS x_max", "9.0D AS y_max")
+        spark.sparkContext.setJobGroup(f"chain{n}", "")
+        kept = spatial.suppress_overlaps(df, ["g"], [F.col("i")], 0.42, None, 10).select("i", "kept_rank").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{n}")))
+        assert sorted((r.i, r.kept_rank) for r in kept) == [(2 * k, k + 1) for k in range(n // 2)]
+    assert jobs[1] <= 1.5 * jobs[0], jobs
+
+
 ODD_BOXES = [  # zero area twice, missing corners twice, an ordinary box twice, one that lies in a large one
     (5.0, 5.0, 5.0, 9.0), (5.0, 5.0, 5.0, 9.0), (1.0, None, 9.0, 9.0), (1.0, None, 9.0, 9.0), (0.0, 0.0, 8.0, 8.0), (0.0, 0.0, 8.0, 8.0),
     (1.0, 1.0, 3.0, 3.0), (100.0, 0.0, 160.0, 60.0), (110.0, 10.0, 112.0, 12.0)]
