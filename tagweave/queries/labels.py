@@ -12,7 +12,7 @@ from tagweave.queries.inputs import load
 from tagweave.queries.registry import query
 from tagweave.schema import BOX_COLUMNS
 from tagweave.session import run_folder
-from tagweave.sources import readers, writers
+from tagweave.sources import label_files as files, readers, writers
 
 NUM = "'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$'"
 PARSED = f"""
@@ -260,6 +260,21 @@ def label_tree(spark, sf):
     return spark.read.text(folder).select("folder", "file", F.col("value").alias("line"))
 
 
+@query("k8_label_files", """
+    SELECT CAST(image % 10 AS VARCHAR) || '/' || CAST(image % 100 AS VARCHAR) || '.txt' AS file,
+           string_agg(line || chr(10), '' ORDER BY image, line_no, line) AS content FROM {label_lines} WHERE line <> ' ' GROUP BY ALL""")
+def label_files(spark, sf):
+    """One text file per source file at its relative path, read back whole."""
+    folder = run_folder(spark, "files")
+    name = F.concat_ws("", (F.col("image") % 10).cast("string"), F.lit("/"), (F.col("image") % 100).cast("string"), F.lit(".txt"))
+    rows = load(spark, sf, "label_lines").filter("line <> ' '").withColumn("file", name)
+    files.write_label_files(rows, folder, "file", ["image", "line_no", "line"])
+    path = F.split("path", "/")
+    read = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return read.select(F.concat_ws("/", F.element_at(path, -2), F.element_at(path, -1)).alias("file"), "content")
+
+
 # ---- experiment -------------------------------------------------------------------------------
 
 SUMMARY = """SELECT variant, count(*) FILTER (decoded) AS decoded_count, count(*) AS total, count(*) FILTER (reader_a <> '') AS reader_a_ok,

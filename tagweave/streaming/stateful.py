@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,46 +27,101 @@ def _in_order(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 # ---- fingerprint gate -----------------------------------------------------------------------
 
-def stream_gate(crops: DataFrame, keys: list[str], order: str, bits: str, score: str,
-                distance: int = 2, forget_after: int | None = None) -> DataFrame:
-    """Crops that pass the near-duplicate gate; the state has the known fingerprints as columns.
+#: Bits of a fingerprint's band from which an index by bands pays.
+BAND_BITS = 8
 
-    A fingerprint that passed is known for good, as in the batch gate; ``forget_after`` names a
-    distance in ``order`` after which it no longer blocks, for streams without an end.
+
+class Gate(StatefulProcessor):
+    """Known fingerprints of one key, listed under each of their bands; a batch reads and writes the bands of its rows.
+
+    Two fingerprints that differ in ``distance`` bits at most agree in one of ``distance + 1`` bands. If bands would be
+    narrower than ``BAND_BITS``, agreeing in one tells little, and all are in one list.
     """
-    rows = crops.select(F.concat_ws("\x1f", *keys).alias("_key"), *keys, F.col(order).alias("_o"),
-                        F.array(F.col(bits).cast("bigint")).alias("_b"), F.col(score).cast("double").alias("_s"))
-    kinds = {f.name: f.dataType.simpleString() for f in crops.schema.fields}
-    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{order} {kinds[order]}"])
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hashes, scores, orders = state.get if state.exists else ([], [], [])
-        batch = _in_order(parts, ["_o"])
-        size = len(hashes)
-        known = [np.concatenate([np.array(old, kind), np.zeros(len(batch), kind)])
-                 for old, kind in ((hashes, np.int64), (scores, np.float64), (orders, np.int64))]
+    def __init__(self, keys: list[str], order: str, distance: int, forget_after: int | None, ttl_ms: int | None):
+        self.keys, self.order, self.distance, self.forget_after, self.ttl = keys, order, distance, forget_after, ttl_ms
+        bands = distance + 1 if 64 // (distance + 1) >= BAND_BITS else 1
+        cuts = [64 * i // bands for i in range(bands + 1)]
+        self.bands = [(low, (1 << high - low) - 1) for low, high in zip(cuts, cuts[1:])] if bands > 1 else [(0, 0)]
+
+    def init(self, handle) -> None:
+        self.known = handle.getMapState("known", "band int, value bigint",
+                                        "hashes array<bigint>, scores array<double>, orders array<bigint>", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _in_order(rows, ["gate_order"])
+        lists: dict[tuple, list] = {}
+        changed: set[tuple] = set()
         passed = []
-        for b, s, o in zip(batch["_b"].tolist(), batch["_s"].tolist(), batch["_o"].tolist()):
-            b = b[0]  # carried in a list, as a NULL would make the column doubles
-            if b is None:
+        for bits, score, order in zip(batch["gate_bits"].tolist(), batch["gate_score"].tolist(), batch["gate_order"].tolist()):
+            bits = bits[0]  # carried in a list, as a NULL would make the column doubles
+            if bits is None or bits != bits:
                 passed.append(True)
                 continue
-            close = np.bitwise_count((known[0][:size] ^ b).view(np.uint64)) <= distance
-            if forget_after is not None:
-                close &= o - known[2][:size] <= forget_after
-            near = bool((close & (known[1][:size] >= s)).any())
+            bits = int(bits)
+            places = [(band, self._signed((bits & (1 << 64) - 1) >> low & mask)) for band, (low, mask) in enumerate(self.bands)]
+            near = any([self._blocked(self._list(lists, place), bits, score, order) for place in places])
             passed.append(not near)
             if not near:
-                known[0][size], known[1][size], known[2][size] = b, s, o
-                size += 1
-        keep = np.ones(size, bool) if forget_after is None else batch["_o"].max() - known[2][:size] <= forget_after
-        state.update(tuple(k[:size][keep].tolist() for k in known))
-        kept = batch[passed]
-        yield kept[[*keys, "_o"]].rename(columns={"_o": order})
-
-    return rows.groupBy("_key").applyInPandasWithState(
-        step, out, "hashes array<bigint>, scores array<double>, orders array<bigint>", "append",
-        GroupStateTimeout.NoTimeout)
+                for place in places:
+                    lists[place].append((bits, score, order))
+                    changed.add(place)
+        newest = int(batch["gate_order"].max())
+        for place in changed:
+            kept = [e for e in lists[place] if self.forget_after is None or newest - e[2] <= self.forget_after]
+            self.known.updateValue(place, tuple(map(list, zip(*kept))))
+        yield batch.loc[passed, [*self.keys, "gate_order"]].rename(columns={"gate_order": self.order})
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _signed(value: int) -> int:
+        return value - (1 << 64) if value >> 63 else value
+
+    def _list(self, lists: dict, place: tuple) -> Known:
+        if place not in lists:
+            lists[place] = Known(zip(*(self.known.getValue(place) or ())))
+        return lists[place]
+
+    def _blocked(self, known: Known, bits: int, score: float, order: int) -> bool:
+        hashes, scores, orders = known.columns()
+        close = np.bitwise_count((hashes ^ np.int64(bits)).view(np.uint64)) <= self.distance
+        if self.forget_after is not None:
+            close &= order - orders <= self.forget_after
+        return bool((close & (scores >= score)).any())
+
+
+class Known(list):
+    """(fingerprint, score, order) entries; their columns are arrays that grow with them."""
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = getattr(self, "size", 0)
+        if not hasattr(self, "held") or len(self) > len(self.held[0]):
+            room = max(16, 2 * len(self))
+            self.held, size = tuple(np.zeros(room, k) for k in (np.int64, np.float64, np.int64)), 0
+        for i in range(size, len(self)):
+            for column, value in zip(self.held, self[i]):
+                column[i] = value
+        self.size = len(self)
+        return tuple(c[:self.size] for c in self.held)
+
+
+def stream_gate(crops: DataFrame, keys: list[str], order: str, bits: str, score: str, distance: int = 2,
+                forget_after: int | None = None, ttl: float | None = None) -> DataFrame:
+    """Crops that pass the near-duplicate gate: those that no known fingerprint of their key with as good a score is near.
+
+    A fingerprint that passed is known for good, as in the batch gate; ``forget_after`` names a distance in ``order`` after
+    which it no longer blocks, and ``ttl`` the seconds after which the store lets go of bands that were not written since,
+    for streams without an end.
+    """
+    rows = crops.select(F.concat_ws("\x1f", *keys).alias("gate_key"), *keys, F.col(order).alias("gate_order"),
+                        F.array(F.col(bits).cast("bigint")).alias("gate_bits"), F.col(score).cast("double").alias("gate_score"))
+    kinds = {f.name: f.dataType.simpleString() for f in crops.schema.fields}
+    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{order} {kinds[order]}"])
+    ttl_ms = None if ttl is None else int(ttl * 1000)
+    return rows.groupBy("gate_key").transformWithStateInPandas(
+        Gate(keys, order, distance, forget_after, ttl_ms), out, "append", "none" if ttl is None else "processingTime")
 
 
 # ---- crop banks -----------------------------------------------------------------------------

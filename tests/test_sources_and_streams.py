@@ -2,16 +2,17 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import labels as lb, tracking
+from tagweave.operators import fingerprints, labels as lb, tracking
 from tagweave.plans import providers, recognition
 from tagweave.queries import oracle_sql, queries, streams
 from tagweave.queries.inputs import load
 from tagweave.schema import RECORD_COLUMNS
-from tagweave.sources import readers, writers
+from tagweave.sources import label_files, readers, writers
 from tagweave.streaming import runs, stateful, tracks
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,6 +92,26 @@ def test_run_files_and_trees(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "tree/folder=d1")).collect()] == ["a", "b"]
 
 
+def test_label_files_by_name(spark, tmp_path):
+    root = str(tmp_path / "out")
+    tree = lambda: {os.path.relpath(os.path.join(d, f), root): open(os.path.join(d, f)).read() for d, _, fs in os.walk(root) for f in fs if not f.endswith(".crc")}
+    kinds = "file string, line_no int, line string, other int"
+    rows = [(f"{k % 3}/deep {k}.txt", n, f"{k} {n} é", 1) for k in range(9) for n in range(5)] + [("none.txt", 0, None, 1)]
+    want = {f"{k % 3}/deep {k}.txt": "".join(f"{k} {n} é\n" for n in range(5)) for k in range(9)} | {"none.txt": ""}
+    label_files.write_label_files(spark.createDataFrame(rows[::-1], kinds), root, "file", ["line_no"])
+    assert tree() == want
+    put(f"{root}/notes.md", "kept")
+    for bad in ("../outside.txt", "/abs.txt", "."):
+        broken = spark.createDataFrame([("new.txt", 0, "x", 1), (bad, 0, "y", 1)], kinds)
+        with pytest.raises(Exception):
+            label_files.write_label_files(broken, root, "file", ["line_no"])
+        assert tree() == want | {"notes.md": "kept"} and not [d for d in os.listdir(root) if d.startswith(".writing")]
+    label_files.write_label_files(spark.createDataFrame([("0/deep 0.txt", 0, "a", 1)], kinds), f"file:{root}", "file", ["line_no"], mode="append")
+    assert tree() == want | {"notes.md": "kept", "0/deep 0.txt": "a\n"}
+    label_files.write_label_files(spark.createDataFrame([("b.txt", 0, "b", 1)], kinds), f"file://{root}", "file", ["line_no"])
+    assert tree() == {"notes.md": "kept", "b.txt": "b\n"}
+
+
 def test_user_reader_isolates_faults(spark):
     class Reader:
         def load(self):
@@ -217,6 +238,22 @@ def test_queries_by_id_keep_every_id(spark, monkeypatch, name):
     assert {r.seq: r.first_seq for r in queries()[name](spark, "").collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
+@pytest.mark.parametrize("distance, ttl", [(2, None), (2, 3600.0), (20, None)])
+def test_stream_gate_equals_batch(spark, distance, ttl):
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    rows = []
+    for i in range(240):
+        bits = rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            bits ^= 1 << rng.randrange(64)
+        rows.append((i % 2, i, None if i % 40 == 0 else bits - (1 << 64) if bits >> 63 else bits, rng.randrange(10) / 10))
+    df = spark.createDataFrame(rows, "k int, i bigint, h bigint, s double")
+    live = spark.read.parquet(runs.replay(df, "i", lambda x: stateful.stream_gate(x, ["k"], "i", "h", "s", distance, ttl=ttl), slices=3))
+    want = fingerprints.gate_crops(df, ["k"], "i", "h", "s", distance)
+    assert sorted((r.k, r.i) for r in live.collect()) == sorted((r.k, r.i) for r in want.collect())
+
+
 def test_modes():
     assert recognition.Mode.named("cpu_safe") == recognition.Mode(replies=False, text=True)
     assert recognition.Mode.named("full", False) == recognition.Mode(replies=True, text=False)
