@@ -54,7 +54,6 @@ class Gate(StatefulProcessor):
         changed: set[tuple] = set()
         passed = []
         for bits, score, order in zip(batch["gate_bits"].tolist(), batch["gate_score"].tolist(), batch["gate_order"].tolist()):
-            bits = bits[0]  # carried in a list, as a NULL would make the column doubles
             if bits is None or bits != bits:
                 passed.append(True)
                 continue
@@ -116,7 +115,8 @@ def stream_gate(crops: DataFrame, keys: list[str], order: str, bits: str, score:
     for streams without an end.
     """
     rows = crops.select(F.concat_ws("\x1f", *keys).alias("gate_key"), *keys, F.col(order).alias("gate_order"),
-                        F.array(F.col(bits).cast("bigint")).alias("gate_bits"), F.col(score).cast("double").alias("gate_score"))
+                        F.col(bits).cast("bigint").cast("string").alias("gate_bits"),  # a NULL would make numbers doubles
+                        F.col(score).cast("double").alias("gate_score"))
     kinds = {f.name: f.dataType.simpleString() for f in crops.schema.fields}
     out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{order} {kinds[order]}"])
     ttl_ms = None if ttl is None else int(ttl * 1000)
