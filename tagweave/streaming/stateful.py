@@ -38,15 +38,15 @@ class Gate(StatefulProcessor):
     narrower than ``BAND_BITS``, agreeing in one tells little, and all are in one list.
     """
 
-    def __init__(self, keys: list[str], order: str, distance: int, forget_after: int | None, ttl_ms: int | None):
-        self.keys, self.order, self.distance, self.forget_after, self.ttl = keys, order, distance, forget_after, ttl_ms
+    def __init__(self, keys: list[str], order: str, distance: int, forget_after: int | None):
+        self.keys, self.order, self.distance, self.forget_after = keys, order, distance, forget_after
         bands = distance + 1 if 64 // (distance + 1) >= BAND_BITS else 1
         cuts = [64 * i // bands for i in range(bands + 1)]
         self.bands = [(low, (1 << high - low) - 1) for low, high in zip(cuts, cuts[1:])] if bands > 1 else [(0, 0)]
 
     def init(self, handle) -> None:
         self.known = handle.getMapState("known", "band int, value bigint",
-                                        "hashes array<bigint>, scores array<double>, orders array<bigint>", self.ttl)
+                                        "hashes array<bigint>, scores array<double>, orders array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _in_order(rows, ["gate_order"])
@@ -107,21 +107,19 @@ class Known(list):
 
 
 def stream_gate(crops: DataFrame, keys: list[str], order: str, bits: str, score: str, distance: int = 2,
-                forget_after: int | None = None, ttl: float | None = None) -> DataFrame:
+                forget_after: int | None = None) -> DataFrame:
     """Crops that pass the near-duplicate gate: those that no known fingerprint of their key with as good a score is near.
 
     A fingerprint that passed is known for good, as in the batch gate; ``forget_after`` names a distance in ``order`` after
-    which it no longer blocks, and ``ttl`` the seconds after which the store lets go of bands that were not written since,
-    for streams without an end.
+    which it no longer blocks, for streams without an end; it leaves a band's list when that is written next.
     """
     rows = crops.select(F.concat_ws("\x1f", *keys).alias("gate_key"), *keys, F.col(order).alias("gate_order"),
                         F.col(bits).cast("bigint").cast("string").alias("gate_bits"),  # a NULL would make numbers doubles
                         F.col(score).cast("double").alias("gate_score"))
     kinds = {f.name: f.dataType.simpleString() for f in crops.schema.fields}
     out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{order} {kinds[order]}"])
-    ttl_ms = None if ttl is None else int(ttl * 1000)
     return rows.groupBy("gate_key").transformWithStateInPandas(
-        Gate(keys, order, distance, forget_after, ttl_ms), out, "append", "none" if ttl is None else "processingTime")
+        Gate(keys, order, distance, forget_after), out, "append", "none")
 
 
 # ---- crop banks -----------------------------------------------------------------------------

@@ -238,8 +238,8 @@ def test_queries_by_id_keep_every_id(spark, monkeypatch, name):
     assert {r.seq: r.first_seq for r in queries()[name](spark, "").collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
-@pytest.mark.parametrize("distance, ttl", [(2, None), (2, 3600.0)])
-def test_stream_gate_equals_batch(spark, distance, ttl):
+def test_stream_gate_equals_batch(spark):
+    distance = 2
     rng = random.Random(distance)
     base = [rng.getrandbits(64) for _ in range(30)]
     rows = []
@@ -249,7 +249,7 @@ def test_stream_gate_equals_batch(spark, distance, ttl):
             bits ^= 1 << rng.randrange(64)
         rows.append((i % 2, i, None if i % 40 == 0 else bits - (1 << 64) if bits >> 63 else bits, rng.randrange(10) / 10))
     df = spark.createDataFrame(rows, "k int, i bigint, h bigint, s double")
-    live = spark.read.parquet(runs.replay(df, "i", lambda x: stateful.stream_gate(x, ["k"], "i", "h", "s", distance, ttl=ttl), slices=2))
+    live = spark.read.parquet(runs.replay(df, "i", lambda x: stateful.stream_gate(x, ["k"], "i", "h", "s", distance), slices=2))
     want = fingerprints.gate_crops(df, ["k"], "i", "h", "s", distance)
     assert sorted((r.k, r.i) for r in live.collect()) == sorted((r.k, r.i) for r in want.collect())
 
